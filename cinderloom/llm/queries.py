@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .packing import op5_packing
+from .sentencepieces import op1_sentencepieces
 from .token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op7_token_counts,)}
+QUERIES = {f.__name__: f for f in (op1_sentencepieces, op5_packing, op7_token_counts)}
 ORACLE: dict[str, str] = {}
