@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .fingerprints import op8_fingerprints
 from .packing import op5_packing
 from .personal_data import op10_personal_data
 from .quality_rules import op4_quality_rules
 from .sentencepieces import op1_sentencepieces
 from .token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_sentencepieces, op4_quality_rules, op5_packing, op7_token_counts, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_sentencepieces, op4_quality_rules, op5_packing, op7_token_counts, op8_fingerprints, op10_personal_data)}
 ORACLE: dict[str, str] = {}
