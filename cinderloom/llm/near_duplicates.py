@@ -13,8 +13,10 @@ more than 4.5 standard errors under the threshold; the rest are compared on thei
 Candidates of a band's group are not all its pairs. First each member is compared with the group's
 least one. Members that the links so found join need no further comparison, so only groups that still span several
 components go on: in blocks of bounded size, members of different components are compared by their
-registers, and pairs that pass are compared on full sets. A third of all rows may be copies of one text (one class) or
-edits of it (one component after the first step).
+registers. Of the pairs that pass only a spanning forest is handed on, which gives clusters that hold all
+links still missing; a cluster's members of different components are compared on full sets, all at once, by products of
+incidence matrices, again in blocks of bounded size, of which a spanning forest of the links is handed on. So rows stay
+in proportion to members, even where thousands of texts are all just below the threshold.
 
 Null texts and texts without words have the empty set and are linked with nothing. Rows with equal
 ids count as one document, linked with itself; a null id stands before all others. An empty table gives an
@@ -33,7 +35,9 @@ from .common import Memo, cut, documents, map_rows
 from .components import components
 
 BUCKETS, BANDS, ROWS, MANTISSA = 256, 42, 6, 10
-PERCENT, ERRORS, BLOCK = 80, 4.5, 4096
+PERCENT, ERRORS, BLOCK = 80, 4.5, 2048
+#: Rows and bytes of sets in a part of a cluster.
+EXACT_BLOCK, BLOCK_BYTES = 512, 16 << 20
 FIRST = -(1 << 63)
 _U = np.uint64
 _WORDS = Memo(xxhash.xxh64_intdigest)
@@ -169,35 +173,82 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return map_rows(rows.select("u", "v", "_su", "_sv"), lambda: row, schema).where("link").select("u", "v")
 
 
+def in_blocks(rows: DataFrame, group: str, blocks) -> DataFrame:
+    """The rows dealt into ``blocks`` parts of their group, once for each pair of parts: _lo, _hi, and _block, their own."""
+    rows = rows.withColumn("_blocks", blocks.cast("int")).withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return rows.withColumns({"_lo": F.least("_block", "_other"), "_hi": F.greatest("_block", "_other")}).drop("_other", "_blocks")
+
+
+def forest(n: int, label: np.ndarray, related) -> list[tuple[int, int]]:
+    """Pairs (i, j) that join rows of different labels, no more than needed. related(i): which rows i is related to."""
+    label, found = label.copy(), []
+    for i in range(n):
+        js = np.flatnonzero(related(i) & (label != label[i]))
+        if len(js):
+            others, at = np.unique(label[js], return_index=True)
+            found += [(i, int(j)) for j in js[at]]
+            label[np.isin(label, others)] = label[i]
+    return found
+
+
 def across(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Likely pairs of different components within groups. rows: key, size, node, component, _n, _regs."""
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"), "_block", "node", "component", "_n", "_regs")
+    """Pairs (u, v) that join all rows with a likely partner in another component of their group to those partners. rows: key, size, node, component, _n, _regs."""
+    rows = in_blocks(rows, "key", F.ceil(F.col("size") / block)).select("key", "_lo", "_hi", "node", "component", "_n", "_regs")
 
     def compare(p):
         import pandas as pd
 
-        lo, hi = int(p["_lo"].iloc[0]), int(p["_hi"].iloc[0])
-        many = p["component"].map(p["component"].value_counts())
-        p = p.assign(_many=many).sort_values(["_many", "component", "node"], ascending=[False, True, True], kind="stable")
-        regs, n, node, comp, own = _matrix(p["_regs"]), p["_n"].to_numpy(), p["node"].to_numpy(), p["component"].to_numpy(), p["_block"].to_numpy()
-        found = []
-        begin = 0  # of the component of row i: all earlier rows belong to others
-        for i in range(1, len(p)):
-            if comp[i] != comp[i - 1]:
-                begin = i
-            if begin:
-                ok = passes((regs[:begin] == regs[i]).sum(1), n[:begin], np.full(begin, n[i]))
-                if lo != hi:
-                    ok &= own[:begin] != own[i]
-                found += [(node[i], x) for x in node[:begin][ok]]
-        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+        p = p.sort_values("node", kind="stable")
+        regs, n, node = _matrix(p["_regs"]), p["_n"].to_numpy(), p["node"].to_numpy()
+        comp = np.unique(p["component"].to_numpy(), return_inverse=True)[1]
+        own, none = comp == np.bincount(comp).argmax(), np.zeros(len(p), bool)  # the largest component's rows need not ask: the others do
+        likely_of = lambda i: none if own[i] else passes((regs == regs[i]).sum(1), n, np.full(len(n), n[i])) & (comp != comp[i])
+        pairs = forest(len(p), np.arange(len(p)), likely_of)
+        return pd.DataFrame([(node[i], node[j]) for i, j in pairs], columns=["u", "v"]).astype("int64")
 
     return rows.groupBy("key", "_lo", "_hi").applyInPandas(compare, "u long, v long")
 
 
+def overlaps(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """The sizes of all intersections."""
+    ids, inverse, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    place = np.cumsum(seen > 1) - 1  # of elements in two sets at least
+    shared = seen[inverse] > 1
+    at, col = at[shared], place[inverse[shared]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(col, kind="stable")
+    at, col = at[order], col[order]
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, columns):
+        a, b = np.searchsorted(col, [lo, lo + columns])
+        m = np.zeros((len(sets), columns), np.float32)
+        m[at[a:b], col[a:b] - lo] = 1
+        out += m @ m.T
+    return out
+
+
+def within_clusters(clusters: DataFrame, docs: DataFrame, block: int = EXACT_BLOCK, largest: int = BLOCK_BYTES) -> DataFrame:
+    """Links (u, v) that span all links between different components of a cluster. clusters: node, cluster, component, _n."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("_size"), F.sum("_n").alias("_all"))
+    rows = clusters.drop("_n").join(sizes, "cluster").join(sets_of(docs, clusters).withColumnRenamed("_key", "node"), "node")
+    blocks = F.ceil(F.greatest(F.col("_size") / block, F.col("_all") * 8 / largest))
+    rows = in_blocks(rows, "cluster", blocks).select("cluster", "_lo", "_hi", "node", "component", "_set")
+
+    def compare(p):
+        import pandas as pd
+
+        p = p.sort_values("node", kind="stable")
+        sets, node = [np.frombuffer(x, _U) for x in p["_set"]], p["node"].to_numpy()
+        n = np.array([len(x) for x in sets], np.float32)
+        both = overlaps(sets)
+        label = np.unique(p["component"].to_numpy(), return_inverse=True)[1]
+        pairs = forest(len(p), label, lambda i: 100 * both[i] >= PERCENT * (n + n[i] - both[i]))
+        return pd.DataFrame([(node[i], node[j]) for i, j in pairs], columns=["u", "v"]).astype("int64")
+
+    return rows.groupBy("cluster", "_lo", "_hi").applyInPandas(compare, "u long, v long")
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
     base = docs.select(F.coalesce(F.col(id_col), F.lit(FIRST)).alias("_key"), F.col(text_col).alias("_text"))
@@ -218,8 +269,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     mixed = mixed.groupBy("size", "_x", "_m").agg(F.min("key").alias("key")).select("key")
     left = cut(left.join(mixed, "key", "left_semi"))
     if not left.isEmpty():
-        more = confirmed(across(left.join(reps.select("node", "_n", "_regs"), "node")), base)
-        found = components(links.union(more))
+        sizes = reps.select("node", "_n", "_regs")
+        likely_ = components(across(left.join(sizes, "node"))).withColumnRenamed("component", "cluster")
+        clusters = likely_.join(found, "node", "left").join(sizes.drop("_regs"), "node").select("node", "cluster", F.coalesce("component", "node").alias("component"), "_n")
+        found = components(links.union(within_clusters(cut(clusters), base)))
 
     members = sketch.select("_key", "n_shingles", "_class").join(classes, "_class", "left")
     out = members.join(found, "node", "left").select("_key", "n_shingles", F.coalesce("component", "node", "_key").alias("_component"))

@@ -47,7 +47,8 @@ def test_against_all_pairs(spark, sf):
 
 
 def test_copies_edits_and_chains(spark, monkeypatch):
-    monkeypatch.setattr(nd.across, "__defaults__", (16,))  # so that groups fall into blocks
+    monkeypatch.setattr(nd.across, "__defaults__", (16,))  # so that groups and clusters fall into blocks
+    monkeypatch.setattr(nd.within_clusters, "__defaults__", (32, 1 << 16))
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("abcdef") for _ in range(5))
     rows, i = [], 0
@@ -80,6 +81,14 @@ def test_nulls_repeats_empty_and_clashes(spark):
     assert nd.find(df.limit(0)).count() == 0
 
 
+def test_overlaps():
+    rnd = np.random.default_rng(5)
+    sets = [np.unique(rnd.integers(0, 500, n).astype(np.uint64)) for n in (1, 5, 50, 300, 300)]
+    want = [[len(np.intersect1d(a, b)) if a is not b else None for b in sets] for a in sets]
+    got = nd.overlaps(sets, 64)
+    assert all(w is None or w == got[i][j] for i, row in enumerate(want) for j, w in enumerate(row))
+
+
 def test_estimate_is_unbiased():
     rnd = np.random.default_rng(1)
     off = []
