@@ -68,7 +68,10 @@ class Lattice:
         self.text = {i: piece.replace(MARK, " ").encode() for i, piece in plain} | {i: bytes([b]) for b, i in self.bytes.items()} | {self.unk_id: " ⁇ ".encode()}
         self.whole_words = not any(MARK in p.lstrip(MARK) for p in self.pieces)
         self.whole_lines = not any("\n" in p for p in self.pieces)
+        joined = {b for p in self.pieces for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
+        self.stops = "".join(c for c in ".,!?;:" if c not in joined)
         self.chunks = Memo(self.forward, 400_000)
+        self.stems = Memo(self.part, 300_000)
         self.searched = Memo(lambda chunk: self.backward(chunk, self.n), 20_000)
 
     def fallback(self, char: str) -> tuple[int, ...]:
@@ -89,6 +92,34 @@ class Lattice:
 
     def viterbi(self, chunk: str):
         """The best and the second-best score of each node, and the best edge into it, as (start, ids)."""
+        n, get = len(chunk), self.prefixes.get
+        best, second, back = [NONE] * (n + 1), [NONE] * (n + 1), [None] * (n + 1)
+        best[0] = 0
+        for i in range(n):  # over the edges, as edges() gives them
+            b, s, single = best[i], second[i], False
+            for j in range(i + 1, n + 1):
+                found = get(chunk[i:j], False)
+                if found:
+                    single |= j == i + 1
+                elif single or j > i + 1:
+                    if found is None:
+                        continue
+                    break
+                else:
+                    if found is None and any(get(chunk[i:k], False) for k in range(i + 2, n + 1)):
+                        return self.viterbi_of_edges(chunk)  # a piece whose first character is none: rare
+                    single, found = True, (self.fallback(chunk[i]), self.unknown)
+                ids, score = found
+                x, old = b + score, best[j]
+                if x > old or x == old and ids[::-1] < back[j][1][::-1]:
+                    best[j], back[j], x = x, (i, ids), old
+                if s + score > x:
+                    x = s + score
+                if x > second[j]:
+                    second[j] = x
+        return best, second, back
+
+    def viterbi_of_edges(self, chunk: str):
         n = len(chunk)
         best, second, back = [NONE] * (n + 1), [NONE] * (n + 1), [None] * (n + 1)
         best[0] = 0
@@ -105,7 +136,17 @@ class Lattice:
         return best, second, back
 
     def forward(self, chunk: str):
-        """(ids as bytes, score, gap to the second-best path, NO_GAP without one) of a chunk."""
+        """(ids as bytes, score, gap to the second-best path, NO_GAP without one) of a chunk.
+
+        Where no piece joins a letter and the marks that end the chunk, all paths pass between them, and the two parts are known apart.
+        """
+        stem = chunk.rstrip(self.stops)
+        if len(stem) < len(chunk) and stem[-1:].isalpha():
+            (a, x, g), (b, y, h) = self.stems[stem], self.stems[chunk[len(stem) :]]
+            return a + b, x + y, min(g, h)
+        return self.stems[chunk] if stem[-1:].isalpha() else self.part(chunk)
+
+    def part(self, chunk: str):
         best, second, back = self.viterbi(chunk)
         ids, at = [], len(chunk)
         while at:
