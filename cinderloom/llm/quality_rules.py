@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import documents
 from .native import let, words
 
-LIMIT, LEAST, VARIETY, LEAST_WORDS, REPEATED = 20, 0.3, 0.2, 10, 20
+LIMIT, LEAST, VARIETY, LEAST_WORDS, REPEATED = 20, 0.15, 0.2, 10, 20
 
 
 def repeated_words(w: Column) -> Column:
