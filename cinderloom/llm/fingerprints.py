@@ -1,11 +1,10 @@
 """Document fingerprints by consistent weighted sampling, all native.
 
-A document's terms are its words (white space apart, ASCII capitals lowered), their weights the
-words' counts. For each of K samples a term draws, from hashes of term and sample alone, r and c of
-Gamma(2, 1) and b of U(0, 1); with t = floor(ln w / r + b) its value is ln c - r (t - b + 1), and the least value over
-the terms is the sample. Two documents agree in a sample as often as their generalised Jaccard
+A document's terms are its words (white space apart), their weights the words' counts. For each of K samples a
+term draws, from hashes of term and sample alone, r and c of Gamma(2, 1) and b of U(0, 1); with t = floor(ln w / r + b) its value is ln c - r (t - b + 1), and the least value over the terms is the sample. Two documents agree in a sample as often as their generalised Jaccard
 similarity, the sum of the lesser over the sum of the greater weights. A sample's value tells its term and t,
 so 16 bits of its hash are kept: a fingerprint is 4 hexadecimal digits a sample, and likeness the share of equal ones.
+Samples are taken eight at a time, a row each, so that the generated code stays small enough to be compiled.
 
 Null texts count as empty. A text without words has the empty fingerprint, which is like (1.0) the
 empty one alone. Documents are ordered by id, nulls first; of documents with equal ids the one with the
@@ -23,14 +22,14 @@ from pyspark.sql.window import Window
 from .common import cut, documents
 from .native import let, words
 
-SAMPLES = 32
+SAMPLES, AT_ONCE = 32, 8
 #: Stands for a null id in the order.
 FIRST = -(1 << 63)
 
 
 def terms(text: Column) -> Column:
     """array<struct<x, w>>: the hashes of the distinct words and their counts."""
-    hashes = F.sort_array(F.transform(words(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), lambda x: F.xxhash64(x)))
+    hashes = F.sort_array(F.transform(words(text), lambda x: F.xxhash64(x)))
 
     def runs(h: Column) -> Column:
         starts = F.filter(F.transform(h, lambda x, i: F.when(F.coalesce(F.get(h, i - 1) != x, F.lit(True)), i)), lambda i: i.isNotNull())
@@ -39,9 +38,9 @@ def terms(text: Column) -> Column:
     return let(hashes, runs)
 
 
-def sample(x: Column, log_w: Column, k: int) -> Column:
-    """The value of a term in sample k."""
-    one, two = F.xxhash64(x, F.lit(2 * k)), F.xxhash64(x, F.lit(2 * k + 1))
+def sample(x: Column, log_w: Column, seed: Column) -> Column:
+    """The value of a term in the sample of a seed."""
+    one, two = F.xxhash64(x, 2 * seed), F.xxhash64(x, 2 * seed + 1)
     part = lambda h, low, bits: (F.shiftrightunsigned(h, low).bitwiseAND((1 << bits) - 1) + 0.5) / float(1 << bits)
     r = -F.log(part(one, 0, 21) * part(one, 21, 21))
     c = -F.log(part(two, 0, 32) * part(two, 32, 32))
@@ -50,14 +49,14 @@ def sample(x: Column, log_w: Column, k: int) -> Column:
 
 
 def signatures(df: DataFrame, keys: list[str], text_col: str, samples: int = SAMPLES) -> DataFrame:
-    """The keys of each row and its signature: the samples' values, nulls without words. Equal keys must have equal texts."""
+    """The keys of each row, a group of samples ``_g`` and its part of the fingerprint, null without words. Equal keys must have equal texts."""
     rows = df.select(*keys, F.explode_outer(terms(F.col(text_col))).alias("_t"))
-    rows = rows.select(*keys, F.col("_t.x").alias("_x"), F.log(F.col("_t.w").cast("double")).alias("_w"))
-    values = rows.select(*keys, *(sample(F.col("_x"), F.col("_w"), k).alias(f"_s{k}") for k in range(samples)))
-    least = values.groupBy(*keys).agg(*(F.min(f"_s{k}").alias(f"_s{k}") for k in range(samples)))
+    rows = rows.select(*keys, F.col("_t.x").alias("_x"), F.log(F.col("_t.w").cast("double")).alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(samples // AT_ONCE - 1))).alias("_g"))
+    values = rows.select(*keys, "_g", *(sample(F.col("_x"), F.col("_w"), F.col("_g") * AT_ONCE + k).alias(f"_s{k}") for k in range(AT_ONCE)))
+    least = values.groupBy(*keys, "_g").agg(*(F.min(f"_s{k}").alias(f"_s{k}") for k in range(AT_ONCE)))
     short = lambda k: F.right(F.lpad(F.hex(F.xxhash64(F.col(f"_s{k}"))), 16, "0"), F.lit(4))
-    text = F.lower(F.concat(*(short(k) for k in range(samples))))
-    return least.select(*keys, F.when(F.col("_s0").isNull(), "").otherwise(text).alias("fingerprint"))
+    text = F.lower(F.concat(*(short(k) for k in range(AT_ONCE))))
+    return least.select(*keys, "_g", F.when(F.col("_s0").isNotNull(), text).alias("_part"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -102,11 +101,9 @@ def fingerprint_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     )
     keys = ["_key", "_hash", "n_chars", "edited_sha256", "_no"]
     found = signatures(versions.select(*keys[:-1], F.col("_v.no").alias("_no"), F.col("_v.text").alias("_of")), keys, "_of", samples)
-    found = cut(
-        found.groupBy(*keys[:-1]).agg(
-            F.max(F.when(F.col("_no") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("_no") == 1, F.col("fingerprint"))).alias("edited_fingerprint")
-        )
-    )
+    whole = lambda no: F.array_join(F.transform(F.array_sort(F.filter("_parts", lambda p: p["_no"] == no)), lambda p: p["_part"]), "")
+    gathered = found.groupBy(*keys[:-1]).agg(F.collect_list(F.struct("_no", "_g", "_part")).alias("_parts"))
+    found = cut(gathered.select(*keys[:-1], whole(0).alias("fingerprint"), whole(1).alias("edited_fingerprint")))
     one = found.groupBy("_key").agg(F.min("fingerprint").alias("_next_fingerprint"))
     nexts = after.join(one.withColumnRenamed("_key", "_next"), "_next").select("_key", "_next_fingerprint")
     return found.join(nexts, "_key").select(

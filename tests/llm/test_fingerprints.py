@@ -6,7 +6,7 @@ from cinderloom.llm.fingerprints import fingerprint_pairs
 
 
 def weights(text):
-    return Counter(re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if c < "\x80" else c for c in text)))
+    return Counter(re.findall("[^\x20\x09-\x0d]+", text))
 
 
 def jaccard(a, b):
