@@ -58,5 +58,9 @@ def bin_index(value: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e <= value))
 
 
+def formatted(pattern: str, x: Column) -> Column:
+    return F.when(x.isNotNull(), F.format_string(pattern, x)).otherwise("n/a")
+
+
 def percent(x: Column, digits: int = 1) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f%%", x * 100), F.lit("n/a"))
+    return formatted(f"%.{digits}f%%", x * 100)

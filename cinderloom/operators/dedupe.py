@@ -83,7 +83,7 @@ def near_dedupe(new: DataFrame, existing: DataFrame | None = None, text_col: str
         old = existing.select(normalise(F.col(text_col)).alias("norm")).where("norm != ''").distinct()
         rows = rows.join(old, "norm", "left_anti")
         old = old.select((-1 - F.pmod(F.xxhash64("norm"), F.lit(1 << 62))).alias("ordinal"), "norm")  # before all new ones
-        pairs = similar_pairs(rows.union(old), threshold).where("later >= 0")
+        pairs = similar_pairs(rows.unionByName(old), threshold).where("later >= 0")
         hit = pairs.where("earlier < 0").select(F.col("later").alias("ordinal")).distinct()
         rows = rows.join(hit, "ordinal", "left_anti")
         pairs = pairs.where("earlier >= 0").join(hit.select(F.col("ordinal").alias("later")), "later", "left_anti").join(hit.select(F.col("ordinal").alias("earlier")), "earlier", "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.css import has_keyframes
-from ..functions.text import has_fence, percent
+from ..functions.text import formatted, has_fence, percent
 from ..schemas import OUTCOMES
 
 FIELDS = ("output", "code_ext", "nll", "n_tokens", "render_raw", "render_ext", "match_raw", "match_ext")
@@ -105,7 +105,7 @@ def tidy(m: DataFrame) -> DataFrame:
 def compare(base: DataFrame, tuned: DataFrame) -> DataFrame:
     """(label_no, label, base, tuned, delta, shown) of two rows of metrics."""
     both = tidy(base).withColumnRenamed("value", "base").join(tidy(tuned).withColumnRenamed("value", "tuned"), ["label_no", "label"])
-    text = lambda c: F.when(F.col("label_no") == 0, F.coalesce(F.format_string("%.3f", c), F.lit("n/a"))).otherwise(percent(F.col(c)))
+    text = lambda c: F.when(F.col("label_no") == 0, formatted("%.3f", F.col(c))).otherwise(percent(F.col(c)))
     return both.select("label_no", "label", "base", "tuned", (F.col("tuned") - F.col("base")).alias("delta"), F.concat(text("base"), F.lit(" -> "), text("tuned")).alias("shown"))
 
 

@@ -1,15 +1,19 @@
 import difflib
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from cinderloom import schemas
 from cinderloom.operators import cascade, dedupe, evaluate, gates, order, report, split
 from cinderloom.sources import jsonl
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import tests
+
 
 @pytest.fixture(scope="module")
 def cut(spark, tmp_path_factory):
