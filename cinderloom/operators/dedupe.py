@@ -45,6 +45,8 @@ def similar_pairs(new: DataFrame, threshold: float = THRESHOLD, step: int = 8) -
     bound = 2 * (both + F.least(other("a"), other("b"))) / (F.col("a_len") + F.col("b_len"))
     close = a.join(b, "bucket").where((F.col("b_ordinal") < F.col("a_ordinal")) & (F.least("a_len", "b_len") >= reach * F.greatest("a_len", "b_len")) & (bound >= threshold))
     ratio = F.pandas_udf(ratios, "double")
+    # few bytes but much work a row: adaptive execution would gather them in a few tasks
+    close = close.select("a_ordinal", "b_ordinal", "a_norm", "b_norm").repartition(new.sparkSession.sparkContext.defaultParallelism * 4)
     return close.where(ratio("a_norm", "b_norm") >= threshold).select(F.col("a_ordinal").alias("later"), F.col("b_ordinal").alias("earlier"))
 
 
