@@ -109,5 +109,6 @@ def test_components(spark):
     for _ in range(200):
         for a, b in links:
             up[a] = up[b] = min(up[a], up[b])
-    got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
-    assert got == {x: up[x] for a, b in links if a != b for x in (a, b)}
+    for few in (0, 1000):  # distributed, and in one partition
+        got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long"), few).collect()}
+        assert got == {x: up[x] for a, b in links if a != b for x in (a, b)}
