@@ -5,12 +5,12 @@ count, then the first three tokens; a path through it is a leaf. Within a leaf,
 join the template they are most similar to, if at least ``similar`` of the positions agree, and positions that differ
 become <*>; else they start a template. Lines of up to three tokens are their own templates.
 
-A template recurs if it stands in at least ``limit`` documents in at least ``limit`` different surroundings (the
-beginnings of the lines before and after it), a fifth of its documents at least: texts that
-are equal count once, and edited copies of a text share surroundings, so documents with many copies keep their lines
-for the near-duplicate stage. Lines of recurring templates are dropped from all documents.
+A template recurs if it stands in at least ``limit`` distinct documents: texts that are equal count once, and so do the
+texts of a group of near copies (``text_copies``), so documents with many copies keep their lines
+for the near-duplicate stage. Lines of recurring templates are dropped from all documents. A line whose tokens all have
+digits keeps them, for a template without a fixed token would say nothing: it recurs by its numbers.
 
-Leaves in too few documents or surroundings are left out before any line travels. A leaf's distinct lines are dealt into parts by hash, each part
+Leaves in too few documents are left out before any line travels. A leaf's distinct lines are dealt into parts by hash, each part
 makes templates by itself, and templates of equal text are one; a part holds ``part`` lines or so, whatever the leaf holds.
 
 Null texts have no lines and stay null. Lines without a token are kept, unless all others are dropped. Repeated rows give
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, documents, map_rows
+from .text_copies import common
 
-DEPTH, SIMILAR, LIMIT, VARIETY, PART = 3, 0.8, 20, 0.2, 2_000
+DEPTH, SIMILAR, LIMIT, PART = 3, 0.8, 20, 2_000
 FIRST = -(1 << 63)
 _DIGIT = re.compile(r"[0-9]")
 ANY = "<*>"
@@ -44,24 +45,24 @@ def hash64(*parts: str) -> int:
 
 def mask(line: str) -> list[str]:
     tokens = line.split()
-    return [ANY if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
+    masked = [ANY if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
+    return masked if any(t != ANY for t in masked) else tokens
 
 
 def line_rows(docs: DataFrame, depth: int = DEPTH, with_lines: bool = True) -> DataFrame:
-    """(leaf, near, text, and with_lines hash, key, at, line) of every line with a token of (_key, _hash, _text); line is the masked one."""
-    fields = [("leaf", T.LongType()), ("near", T.LongType()), ("text", T.LongType()), ("hash", T.LongType()), ("key", T.LongType()), ("at", T.IntegerType()), ("line", T.StringType())]
-    schema = T.StructType([T.StructField(*x) for x in (fields if with_lines else fields[:3])])
+    """(leaf, text, and with_lines hash, key, at, line) of every line with a token of (_key, _hash, _text); line is the masked one."""
+    fields = [("leaf", T.LongType()), ("text", T.LongType()), ("hash", T.LongType()), ("key", T.LongType()), ("at", T.IntegerType()), ("line", T.StringType())]
+    schema = T.StructType([T.StructField(*x) for x in (fields if with_lines else fields[:2])])
 
     def row(key, whole, text):
         if not text:
             return []
         out = []
-        lines = [(i, x) for i, x in enumerate(text.split("\n")) if x and not x.isspace()]
-        for k, (i, x) in enumerate(lines):
+        for i, x in enumerate(text.split("\n")):
+            if not x or x.isspace():
+                continue
             tokens = mask(x)
-            before = lines[k - 1][1][:12] if k else ""
-            after = lines[k + 1][1][:12] if k + 1 < len(lines) else ""
-            found = hash64(str(len(tokens)), *tokens[:depth]), hash64(before, after), whole
+            found = hash64(str(len(tokens)), *tokens[:depth]), whole
             if with_lines:
                 line = " ".join(tokens)
                 found = (*found, hash64(line), key, i, line)
@@ -71,14 +72,6 @@ def line_rows(docs: DataFrame, depth: int = DEPTH, with_lines: bool = True) -> D
     return map_rows(docs.select("_key", "_hash", "_text"), lambda: row, schema, many=True)
 
 
-def recurring(rows: DataFrame, by: str, limit: int, variety: float) -> DataFrame:
-    """The values of ``by`` that stand in enough documents and surroundings; summed up by ever fewer keys."""
-    texts = rows.groupBy(by, "near", "text").agg(F.count("*").alias("_n"))
-    near = texts.groupBy(by, "near").agg(F.count("*").alias("_docs"))
-    found = near.groupBy(by).agg(F.sum("_docs").alias("_docs"), F.count("*").alias("_nears"))
-    return found.where((F.col("_docs") >= limit) & (F.col("_nears") >= limit) & (F.col("_nears") >= variety * F.col("_docs"))).select(by)
-
-
 def templates(lines: list[list[str]], similar: float = SIMILAR, depth: int = DEPTH) -> list[str]:
     """The template of each of a leaf's lines; lines are in order."""
     heads, made, out = [], {}, []
@@ -118,14 +111,14 @@ def assign(lines: DataFrame, similar: float = SIMILAR, part: int = PART, depth:
     return dealt.groupBy(bunch.alias("_bunch")).applyInPandas(run, "leaf long, hash long, template long")
 
 
-def dropped(docs: DataFrame, limit: int = LIMIT, similar: float = SIMILAR, variety: float = VARIETY, depth: int = DEPTH) -> DataFrame:
+def dropped(docs: DataFrame, limit: int = LIMIT, similar: float = SIMILAR, depth: int = DEPTH) -> DataFrame:
     """(key, text hash, drop: array of line numbers) of the documents that lose lines."""
-    leaves = recurring(line_rows(docs, depth, False), "leaf", limit, 0.0)
+    leaves = line_rows(docs, depth, False).distinct().groupBy("leaf").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= limit).select("leaf")
     hot = cut(line_rows(docs, depth).join(leaves, "leaf", "left_semi"))
     lines = hot.groupBy("leaf", "hash").agg(F.first("line").alias("line"))
     known = cut(assign(lines, similar, depth=depth))
     named = hot.drop("line").join(known, ["leaf", "hash"])
-    again = recurring(named, "template", limit, variety)
+    again = common(named.select("template", F.col("text").alias("_text")), ["template"], docs.select(F.col("_hash").alias("_text"), F.col("_text").alias("text")), limit)
     hits = named.join(again, "template", "left_semi")
     return hits.groupBy("key", "text").agg(F.sort_array(F.collect_set("at")).alias("drop"))
 

@@ -54,3 +54,20 @@ def test_edge_cases(spark):
     assert got.count() == len(rows) and by[None].clean_text is None and by[1].clean_text == "" and by[99].n_dropped == 1
     assert {r.doc_id for r in df.join(drop_lines(df), "doc_id", "left_anti").collect()} == {99, None}
     assert clean_lines(df.limit(0)).count() == 0
+
+
+def test_fixed_passages_go_from_different_documents(spark):
+    rnd = random.Random(11)
+    line = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    block, head = [line(9) for _ in range(5)], line(7)
+    rows = [(i, "\n".join([head, "second line of all", line(20), *block, line(20)])) for i in range(60)]
+    rows += [(i, "\n".join([line(20), *block[:3], line(20)])) for i in range(60, 80)]
+    body = [line(12) for _ in range(6)]
+    for i in range(100, 200):  # copies with an edit each, without their original
+        b = [x.split(" ") for x in body]
+        b[rnd.randrange(6)][rnd.randrange(3, 12)] = line(1)
+        rows.append((i, "\n".join(" ".join(x) for x in b)))
+    got = {r.doc_id: r for r in clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        own = [x for x in text.split("\n") if x not in (*block, head, "second line of all")]
+        assert got[i].clean_text == "\n".join(own), i
