@@ -3,18 +3,16 @@
 Base: a document fails with fewer than 10 words, or if over a fifth of its words stand in
 five-word windows found twice or more in it. Method: lines are normalised (lower case, digits
 as 0, white space as one space) and hashed; a line is above the limit on a host (``source``) if at least
-``limit`` documents of the host have it, in many surroundings: the line's distinct neighbours
-(the beginnings of the lines before and after it) must number at least ``limit`` too, and a fifth of its
-documents. Documents with equal texts count once, and copies with edits share surroundings, so copies
-do not make lines frequent. Such lines are removed, and a document is depleted, and rejected, if
+``limit`` distinct documents of the host have it. Documents with equal texts count once, and so does a group of near
+copies (``text_copies``), so copies do not make lines frequent. Such lines are removed, and a document is depleted, and rejected, if
 under ``least`` of its words remain.
 
 Null texts count as empty and fail; a null host is a host of its own. Repeated rows give repeated
 results and count once; an empty table gives an empty result; other columns are carried along
 by ``judge`` (its own start with an underscore or are those of the result) and ignored by the query.
 
-Counting is by (host, line, surroundings, text), then by ever fewer of these keys, so a line that a third of all
-documents share is summed up in many tasks.
+Counting is by (host, line, text), then by (host, line), so a line that a third of all
+documents share is summed up in many tasks; near copies are looked for among the texts with lines in enough texts.
 """
 
 from __future__ import annotations
@@ -24,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .native import let, words
+from .text_copies import common
 
-LIMIT, LEAST, VARIETY, LEAST_WORDS, REPEATED = 20, 0.15, 0.2, 10, 20
+LIMIT, LEAST, LEAST_WORDS, REPEATED = 20, 0.15, 10, 20
 
 
 def repeated_words(w: Column) -> Column:
@@ -60,30 +59,26 @@ def base(text: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """A row per line with a word: _id, _text (hash), _host, _line (hash), _near (hash of its surroundings), _at, _words."""
+    """A row per line with a word: _id, _text (hash), _host, _line (hash), _at, _words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    start = lambda x: F.left(F.coalesce(x, F.lit("")), F.lit(12))
     rows = F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("at")))
-    with_near = let(rows, lambda r: F.transform(r, lambda x, i: F.struct(x["line"].alias("line"), x["at"].alias("at"), F.xxhash64(start(F.get(r, i - 1)["line"]), start(F.get(r, i + 1)["line"])).alias("near"))))
-    df = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.explode(with_near).alias("_x"))
+    df = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.explode(rows).alias("_x"))
     plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.col("_x.line"))), "[0-9]", "0"), r"\s+", " ")
     n_words = F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1
-    return df.select("_id", "_text", "_host", F.xxhash64(plain).alias("_line"), F.col("_x.near").alias("_near"), F.col("_x.at").alias("_at"), n_words.alias("_words"))
+    return df.select("_id", "_text", "_host", F.xxhash64(plain).alias("_line"), F.col("_x.at").alias("_at"), n_words.alias("_words"))
 
 
-def frequent_lines(rows: DataFrame, limit: int = LIMIT, variety: float = VARIETY) -> DataFrame:
+def frequent_lines(rows: DataFrame, docs: DataFrame, limit: int = LIMIT, text_col: str = "text") -> DataFrame:
     """(_host, _line) of the lines above the limit."""
-    texts = rows.groupBy("_host", "_line", "_near", "_text").agg(F.count("*").alias("_n"))
-    near = texts.groupBy("_host", "_line", "_near").agg(F.count("*").alias("_docs"))
-    lines = near.groupBy("_host", "_line").agg(F.sum("_docs").alias("_docs"), F.count("*").alias("_nears"))
-    return lines.where((F.col("_docs") >= limit) & (F.col("_nears") >= limit) & (F.col("_nears") >= variety * F.col("_docs"))).select("_host", "_line")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return common(rows, ["_host", "_line"], docs.select(F.xxhash64(text).alias("_text"), text.alias("text")), limit)
 
 
 def removed_words(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(_id, _text, _host, _removed): the words of each document in lines above the limit, where there are any."""
     rows = line_rows(docs, id_col, text_col, host_col)
-    hits = rows.join(frequent_lines(rows, limit), ["_host", "_line"], "left_semi")
+    hits = rows.join(frequent_lines(rows, docs, limit, text_col), ["_host", "_line"], "left_semi")
     return hits.select("_id", "_text", "_host", "_at", "_words").distinct().groupBy("_id", "_text", "_host").agg(F.sum("_words").alias("_removed"))
 
 

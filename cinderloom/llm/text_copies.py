@@ -21,33 +21,31 @@ from .common import Memo, cut, map_rows
 from .components import components
 from .near_duplicates import mix
 
-BANDS, ROWS, PERCENT, CHUNK = 12, 10, 90, 4096
+BANDS, ROWS, PERCENT, CHUNK = 12, 10, 90, 1024
 _U = np.uint64
+_FACTORS = np.random.default_rng(5).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 _WORDS = Memo(xxhash.xxh64_intdigest)
 _SKETCH = T.StructType([T.StructField("_text", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 _SET = T.StructType([T.StructField("_text", T.LongType()), T.StructField("words", T.ArrayType(T.LongType()))])
 
 
 def bag(text: str | None) -> np.ndarray:
-    """The distinct hashes of the words with the number of their occurrence."""
+    """The hashes of the words with the number of their occurrence."""
     words = (text or "").lower().encode("utf-8", "surrogatepass").split()
     h = np.sort(np.fromiter(map(_WORDS.__getitem__, words), _U, len(words)))
     if not len(h):
         return h
     at = np.arange(len(h))
     first = np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], at, 0))
-    return np.unique(mix(h + (at - first).astype(_U) * _U(0x9E3779B97F4A7C15)))
+    return mix(h + (at - first).astype(_U) * _U(0x9E3779B97F4A7C15))
 
 
 def bands(found: np.ndarray) -> list[int]:
     """A hash per band of a set's minima."""
-    rnd = np.random.default_rng(5)
-    a = rnd.integers(0, 1 << 63, BANDS * ROWS, dtype=_U)[:, None] * _U(2) + _U(1)
-    b = rnd.integers(0, 1 << 63, BANDS * ROWS, dtype=_U)[:, None]
-    least = np.full(BANDS * ROWS, np.iinfo(_U).max, _U)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    short = (found >> _U(32)).astype(np.uint32)
     for lo in range(0, len(found), CHUNK):
-        x = found[None, lo : lo + CHUNK] * a + b
-        least = np.minimum(least, (x ^ (x >> _U(32))).min(axis=1))
+        least = np.minimum(least, (short[None, lo : lo + CHUNK] * _FACTORS).min(axis=1))
     return [xxhash.xxh64_intdigest(x.tobytes(), seed=i) - (1 << 63) for i, x in enumerate(least.reshape(BANDS, ROWS))]
 
 

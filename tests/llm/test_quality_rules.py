@@ -65,3 +65,22 @@ def test_nulls_repeats_and_empty(spark):
     assert got == [(0, 0, False), (0, 10, True), (1, 1, False), (1, 10, True), (1, 10, True)]
     assert keep(df).count() == 3
     assert verdicts(df.limit(0)).count() == 0
+
+
+def test_blocks_in_fixed_order_deplete(spark):
+    rnd = random.Random(12)
+    line = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    block = [line(8) for _ in range(5)]
+    docs = [(i, "\n".join([*block, line(5)]), "h1") for i in range(60)]  # the block heads the text
+    docs += [(i, "\n".join([line(20), *block[:3], line(20)]), "h1") for i in range(60, 80)]
+    docs += [(i, "\n".join([*block, line(5)]), "h2") for i in range(80, 90)]  # too few on this host
+    body = [line(12) for _ in range(6)]
+    for i in range(100, 200):  # copies with an edit each, without their original
+        b = [x.split(" ") for x in body]
+        b[rnd.randrange(6)][rnd.randrange(3, 12)] = line(1)
+        docs.append((i, "\n".join(" ".join(x) for x in b), "h1"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in verdicts(df).collect()}
+    assert all(got[i].n_removed_words == 40 and not got[i].kept for i in range(60))
+    assert all(got[i].n_removed_words == 24 and got[i].kept for i in range(60, 80))
+    assert all(got[i].n_removed_words == 0 and got[i].kept for i in got if i >= 80)
