@@ -1,9 +1,10 @@
 """Groups of near copies by whole-text similarity, for counts of documents in which copies must count once.
 
-A text's set holds its words (ASCII white space apart, lower case) with the number of their occurrence, so it is a bag.
-Texts are near copies at a Jaccard similarity of ``PERCENT`` or more of these sets; the threshold is high, for documents that
-share boilerplate and little else are not copies of each other. 12 bands of 10 minima propose candidates (a pair at 0.9 is
-missed with probability 0.006, one at 0.95 with 1e-5); sets of too different sizes are left out, the others are compared in full. A
+A text's bag holds its words (ASCII white space apart, lower case), each with the number of its occurrence.
+Texts are near copies at a Jaccard similarity of ``PERCENT`` or more of their bags; the threshold is high, for documents that
+share boilerplate and little else are not copies of each other. Candidates come from 12 bands: a text's distinct words are dealt by hash
+into 12 parts, and a band is the least 10 hashes of a part (so a pair of 0.9 is missed with a probability of about
+0.01, one of 0.95 hardly ever). Bags of too different sizes are left out, the others are compared in full. A
 band's members are compared with the least text of the band's group and of the smaller group that agrees in the next
 band as well, so rows stay in proportion to members; a pair that meets only other texts' leasts is missed.
 Groups are the connected components of the links. Equal texts are one text; texts without words are in no group.
@@ -11,63 +12,46 @@ Groups are the connected components of the links. Equal texts are one text; text
 
 from __future__ import annotations
 
-import numpy as np
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import Memo, cut, map_rows
+from .common import cut
 from .components import components
-from .near_duplicates import mix
+from .native import let, words
 
-BANDS, ROWS, PERCENT, CHUNK = 12, 10, 90, 1024
-_U = np.uint64
-_FACTORS = np.random.default_rng(5).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
-_WORDS = Memo(xxhash.xxh64_intdigest)
-_SKETCH = T.StructType([T.StructField("_text", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-_SET = T.StructType([T.StructField("_text", T.LongType()), T.StructField("words", T.ArrayType(T.LongType()))])
+BANDS, LEASTS, PERCENT = 12, 10, 90
 
 
-def bag(text: str | None) -> np.ndarray:
-    """The hashes of the words with the number of their occurrence."""
-    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
-    h = np.sort(np.fromiter(map(_WORDS.__getitem__, words), _U, len(words)))
-    if not len(h):
-        return h
-    at = np.arange(len(h))
-    first = np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], at, 0))
-    return mix(h + (at - first).astype(_U) * _U(0x9E3779B97F4A7C15))
+def hashes(text: Column) -> Column:
+    """The sorted hashes of the words."""
+    return F.sort_array(F.transform(words(F.lower(text)), lambda x: F.xxhash64(x)))
 
 
-def bands(found: np.ndarray) -> list[int]:
-    """A hash per band of a set's minima."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
-    short = (found >> _U(32)).astype(np.uint32)
-    for lo in range(0, len(found), CHUNK):
-        least = np.minimum(least, (short[None, lo : lo + CHUNK] * _FACTORS).min(axis=1))
-    return [xxhash.xxh64_intdigest(x.tobytes(), seed=i) - (1 << 63) for i, x in enumerate(least.reshape(BANDS, ROWS))]
+def bag(text: Column) -> Column:
+    """A hash of each word with the number of its occurrence."""
+    return let(hashes(text), lambda h: F.transform(h, lambda x, i: F.hash(x, i - F.array_position(h, x))))
 
 
-def groups(docs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(_text, _group) of the texts that have near copies; docs: _text (hash), text; texts: _text of those that matter."""
+def sketch(text: Column) -> Column:
+    """struct<n: number of words, keys: a hash per band, null for an empty part>."""
+    part = lambda h, i: let(F.slice(F.filter(h, lambda x: F.pmod(x, F.lit(BANDS)) == i), 1, LEASTS), lambda p: F.when(F.size(p) > 0, F.xxhash64(p)))
+    return let(hashes(text), lambda h: F.struct(F.size(h).alias("n"), let(F.array_distinct(h), lambda d: F.array(*(part(d, i) for i in range(BANDS)))).alias("keys")))
 
-    def sketch(key, text):
-        found = bag(text)
-        return [(key, len(found), bands(found))] if len(found) else []
 
+def groups(docs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(_text, _group) of the texts that have near copies; docs: _text (hash), text; texts: _text of those that matter."""
     texts = texts.select("_text").distinct()
-    sketches = map_rows(docs.select("_text", "text"), lambda: sketch, _SKETCH, many=True)
+    sketches = docs.select("_text", sketch(F.col("text")).alias("_x")).select("_text", "_x.*")
     known = cut(sketches.join(texts, "_text", "left_semi").dropDuplicates(["_text"]))
     keys = [F.struct(F.lit(i).alias("band"), F.get("keys", F.lit(i)).alias("key")) for i in range(BANDS)]
-    keys += [F.struct(F.lit(BANDS + i).alias("band"), F.xxhash64(F.get("keys", F.lit(i)), F.get("keys", F.lit((i + 1) % BANDS))).alias("key")) for i in range(BANDS)]
-    members = known.select("_text", "n", F.explode(F.array(*keys)).alias("x")).select("_text", "n", "x.*")
+    keys += [F.struct(F.lit(BANDS + i).alias("band"), F.when(F.get("keys", F.lit(i)).isNotNull(), F.xxhash64(F.get("keys", F.lit(i)), F.get("keys", F.lit((i + 1) % BANDS)))).alias("key")) for i in range(BANDS)]
+    members = known.select("_text", "n", F.explode(F.array(*keys)).alias("x")).select("_text", "n", "x.*").where(F.col("key").isNotNull())
     leasts = members.groupBy("band", "key").agg(F.min(F.struct("_text", "n")).alias("least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     like = 100 * F.least("n", "least.n") >= percent * F.greatest("n", "least.n")
     pairs = cut(members.join(leasts, ["band", "key"]).where((F.col("_text") != F.col("least._text")) & like).select(F.col("_text").alias("u"), F.col("least._text").alias("v")).distinct())
     needed = pairs.select(F.explode(F.array("u", "v")).alias("_text")).distinct()
     wanted = docs.select("_text", "text").join(needed, "_text", "left_semi").dropDuplicates(["_text"])
-    sets = cut(map_rows(wanted, lambda: lambda key, text: (key, bag(text).view(np.int64).tolist()), _SET))
+    sets = cut(wanted.select("_text", bag(F.col("text")).alias("words")))
     side = lambda c: sets.select(F.col("_text").alias(c), F.col("words").alias(f"{c}_words"))
     same = F.size(F.array_intersect("u_words", "v_words"))
     links = pairs.join(side("u"), "u").join(side("v"), "v").where(100 * same >= percent * (F.size("u_words") + F.size("v_words") - same)).select("u", "v")
