@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,23 +23,55 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as the session names it.
+
+    Where it names none, a folder of this machine serves a local session (tests); on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="cinderloom-checkpoints-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
     return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint, so that a lost executor costs no recomputation from the start."""
+    """Cuts the lineage with a reliable checkpoint, for what the result itself is read from; Spark's cleaner removes it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Tables in the shared folder between the steps of one operator: ``put`` writes one, ``drop`` removes them once spent.
+
+    As Parquet they are smaller than checkpoints, only the columns that a step uses are read, and a lost executor
+    costs no recomputation.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.top = spark, f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+        self.written: list[tuple[DataFrame, str]] = []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.top}/{len(self.written)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.written.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes these, or all without arguments."""
+        jvm = self.spark.sparkContext._jvm
+        for path in [path for df, path in self.written if any(df is x for x in tables)] if tables else [self.top]:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable], schema: T.StructType, many: bool = False) -> DataFrame:
     """Maps rows with the function that ``make()`` gives in the worker, in slices of bounded size.
 
@@ -60,8 +93,45 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: T.StructType,
     return df.mapInArrow(run, schema)
 
 
+def map_cells(rows: DataFrame, cell: list[str], order: str, fn: Callable, schema: T.StructType | str) -> DataFrame:
+    """``fn`` of each cell's rows, a pandas frame sorted by ``order``; it gives tuples. Cells must be of bounded size.
+
+    Cells are dealt out by hash and sorted, and a task goes through its cells one after another.
+    """
+    import pandas as pd
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
+
+    def batch(found: Iterable[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*found, strict=True)) or [()] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    def run(batches):
+        held, key = [], None
+        for b in batches:
+            p = b.to_pandas()
+            if not len(p):
+                continue
+            marks = pd.MultiIndex.from_frame(p[cell])
+            edges = [0, *(i for i in range(1, len(p)) if marks[i] != marks[i - 1]), len(p)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if held and marks[lo] != key:
+                    yield batch(fn(pd.concat(held, ignore_index=True)))
+                    held = []
+                key = marks[lo]
+                held.append(p.iloc[lo:hi])
+        if held:
+            yield batch(fn(pd.concat(held, ignore_index=True)))
+
+    return rows.repartition(*cell).sortWithinPartitions(*cell, order).mapInArrow(run, kind)
+
+
 class Memo(dict):
-    """A bounded memo in two generations: what was used since the last turn survives the next one."""
+    """A bounded memo in two generations: what was used since the last turn survives the next one. Long keys are not kept."""
+
+    LONGEST = 64
 
     def __init__(self, make: Callable, size: int = 250_000):
         super().__init__()
@@ -71,6 +141,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > self.LONGEST:
+            return value
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()

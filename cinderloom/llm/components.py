@@ -1,6 +1,8 @@
 """Connected components of links between integers, by alternating large and small stars.
 
-Rounds over few links (counted) run in one partition, which needs no exchange at all; beyond that they are distributed.
+Every round writes its links to the shared folder, whatever their number, and the round before is removed. The least
+neighbour of a node is summed up before it travels, and the join that spreads it can split a hot node's links,
+so the centre of a star that a third of all nodes belong to is no bottleneck.
 """
 
 from __future__ import annotations
@@ -8,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Tables
 
-ROUNDS, FEW = 60, 200_000
+ROUNDS = 60
 
 
 def _spread(pairs: DataFrame) -> DataFrame:
@@ -19,32 +21,32 @@ def _spread(pairs: DataFrame) -> DataFrame:
 
 
 def large_star(links: DataFrame) -> DataFrame:
+    """Each node's larger neighbours, linked with the least of its neighbours and itself; may repeat links."""
     both = links.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
     stars = _spread(both).select("v", "u", F.least("u", "m").alias("m"))
-    return stars.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return stars.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def small_star(links: DataFrame) -> DataFrame:
-    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    stars = _spread(down)
+    """Each node and its smaller neighbours, linked with the least of them; links have u > v."""
+    stars = _spread(links)
     return stars.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u != v").distinct()
 
 
-def components(links: DataFrame, few: int = FEW) -> DataFrame:
-    """(node, component): the least node reachable, for every node with a link. links: u, v, neither null."""
-    links = cut(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-    was = mark(links)
-    gathered = (lambda df: df.coalesce(1)) if was[0] <= few else (lambda df: df)
-    links = gathered(links)
+def components(links: DataFrame, tables: Tables) -> DataFrame:
+    """(node, component): the least node reachable, for every node with a link. links: u, v, neither null.
+
+    The result is a table among ``tables``. Links that need over ``ROUNDS`` rounds (each about halves the longest path) raise an error.
+    """
+    down = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    links, was = tables.put(down.distinct()), None
     for _ in range(ROUNDS):
-        if not was[0]:
-            break
-        links = gathered(cut(small_star(large_star(links))))
-        now = mark(links)
-        if now == was:
+        now = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if not now[0] or now == was:
             break
-        was = now
+        was, spent = now, links
+        links = tables.put(small_star(large_star(links)))
+        tables.drop(spent)
     else:
         raise RuntimeError(f"components are not stable after {ROUNDS} rounds")
     centres = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

@@ -1,13 +1,13 @@
 """Groups of near copies by whole-text similarity, for counts of documents in which copies must count once.
 
-A text's bag holds its words (ASCII white space apart, lower case), each with the number of its occurrence.
-Texts are near copies at a Jaccard similarity of ``PERCENT`` or more of their bags; the threshold is high, for documents that
-share boilerplate and little else are not copies of each other. Candidates come from 12 bands: a text's distinct words are dealt by hash
-into 12 parts, and a band is the least 10 hashes of a part (so a pair of 0.9 is missed with a probability of about
-0.01, one of 0.95 hardly ever). Bags of too different sizes are left out, the others are compared in full. A
-band's members are compared with the least text of the band's group and of the smaller group that agrees in the next
-band as well, so rows stay in proportion to members; a pair that meets only other texts' leasts is missed.
-Groups are the connected components of the links. Equal texts are one text; texts without words are in no group.
+A text's set holds its distinct words (ASCII white space apart, lower case); its sketch is the ``K`` least hashes of
+them, the whole set where it is smaller. Texts are near copies if the Jaccard similarity that the least ``K`` hashes of both
+sets' union show is ``PERCENT`` or more; the threshold is high, for documents that share boilerplate and little else are
+not copies of each other. Candidates come from ``BANDS`` bands: a sketch's hashes are dealt by their remainder
+into so many parts, and a band is the least ``LEASTS`` of a part, so a pair of 0.9 agrees in none with a probability of 0.004, one of
+0.95 hardly ever. A band's members are compared with the least text of the band's group, so rows stay in proportion to
+members; a pair that meets only other texts' leasts is missed, which can only split a group. Groups are the connected
+components of the links. Equal texts are one text; texts without words are in no group.
 """
 
 from __future__ import annotations
@@ -15,53 +15,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Tables, cut
 from .components import components
 from .native import let, words
 
-BANDS, LEASTS, PERCENT = 12, 10, 90
+K, BANDS, LEASTS, PERCENT = 120, 10, 8, 90
 
 
-def hashes(text: Column) -> Column:
-    """The sorted hashes of the words."""
-    return F.sort_array(F.transform(words(F.lower(text)), lambda x: F.xxhash64(x)))
+def sketch(text: Column) -> Column:
+    """The least hashes of the distinct words, in order."""
+    hashed = F.transform(words(F.lower(text)), lambda x: F.hash(x))
+    return F.slice(F.sort_array(F.array_distinct(hashed)), 1, K)
 
 
-def bag(text: Column) -> Column:
-    """A hash of each word with the number of its occurrence."""
-    return let(hashes(text), lambda h: F.transform(h, lambda x, i: F.hash(x, i - F.array_position(h, x))))
+def bands(found: Column) -> Column:
+    """array<struct<band, key>> of a sketch; none for an empty part."""
+    part = lambda i: let(F.slice(F.filter(found, lambda x: F.pmod(x, F.lit(BANDS)) == i), 1, LEASTS), lambda p: F.when(F.size(p) > 0, F.struct(F.lit(i).alias("band"), F.xxhash64(p).alias("key"))))
+    return F.filter(F.array(*(part(i) for i in range(BANDS))), lambda x: x.isNotNull())
 
 
-def sketch(text: Column) -> Column:
-    """struct<n: number of words, keys: a hash per band, null for an empty part>."""
-    part = lambda h, i: let(F.slice(F.filter(h, lambda x: F.pmod(x, F.lit(BANDS)) == i), 1, LEASTS), lambda p: F.when(F.size(p) > 0, F.xxhash64(p)))
-    return let(hashes(text), lambda h: F.struct(F.size(h).alias("n"), let(F.array_distinct(h), lambda d: F.array(*(part(d, i) for i in range(BANDS)))).alias("keys")))
+def similar(a: Column, b: Column, percent: int = PERCENT) -> Column:
+    """Whether the sketches' texts are near copies."""
+    return let(F.slice(F.sort_array(F.array_union(a, b)), 1, K), lambda least: 100 * F.size(F.array_intersect(least, F.array_intersect(a, b))) >= percent * F.size(least))
 
 
-def groups(docs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(_text, _group) of the texts that have near copies; docs: _text (hash), text; texts: _text of those that matter."""
-    texts = texts.select("_text").distinct()
-    sketches = docs.select("_text", sketch(F.col("text")).alias("_x")).select("_text", "_x.*")
-    known = cut(sketches.join(texts, "_text", "left_semi").dropDuplicates(["_text"]))
-    keys = [F.struct(F.lit(i).alias("band"), F.get("keys", F.lit(i)).alias("key")) for i in range(BANDS)]
-    keys += [F.struct(F.lit(BANDS + i).alias("band"), F.when(F.get("keys", F.lit(i)).isNotNull(), F.xxhash64(F.get("keys", F.lit(i)), F.get("keys", F.lit((i + 1) % BANDS)))).alias("key")) for i in range(BANDS)]
-    members = known.select("_text", "n", F.explode(F.array(*keys)).alias("x")).select("_text", "n", "x.*").where(F.col("key").isNotNull())
-    leasts = members.groupBy("band", "key").agg(F.min(F.struct("_text", "n")).alias("least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    like = 100 * F.least("n", "least.n") >= percent * F.greatest("n", "least.n")
-    pairs = cut(members.join(leasts, ["band", "key"]).where((F.col("_text") != F.col("least._text")) & like).select(F.col("_text").alias("u"), F.col("least._text").alias("v")).distinct())
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("_text")).distinct()
-    wanted = docs.select("_text", "text").join(needed, "_text", "left_semi").dropDuplicates(["_text"])
-    sets = cut(wanted.select("_text", bag(F.col("text")).alias("words")))
-    side = lambda c: sets.select(F.col("_text").alias(c), F.col("words").alias(f"{c}_words"))
-    same = F.size(F.array_intersect("u_words", "v_words"))
-    links = pairs.join(side("u"), "u").join(side("v"), "v").where(100 * same >= percent * (F.size("u_words") + F.size("v_words") - same)).select("u", "v")
-    return components(links).select(F.col("node").alias("_text"), F.col("component").alias("_group"))
+def groups(docs: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
+    """(_text, _group) of the texts that have near copies, among ``tables``; docs: _text (hash), text; texts: _text of those that matter."""
+    sketches = docs.select("_text", sketch(F.col("text")).alias("least")).where(F.size("least") > 0)
+    known = tables.put(sketches.join(texts.select("_text").distinct(), "_text", "left_semi").dropDuplicates(["_text"]))
+    members = known.select("_text", F.explode(bands(F.col("least"))).alias("x")).select("_text", "x.*")
+    leasts = members.groupBy("band", "key").agg(F.min("_text").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    pairs = members.join(leasts, ["band", "key"]).where("_text != _first").select(F.col("_text").alias("u"), F.col("_first").alias("v")).distinct()
+    side = lambda c: known.select(F.col("_text").alias(c), F.col("least").alias(f"{c}_least"))
+    links = tables.put(pairs.join(side("u"), "u").join(side("v"), "v").where(similar(F.col("u_least"), F.col("v_least"))).select("u", "v"))
+    return components(links, tables).select(F.col("node").alias("_text"), F.col("component").alias("_group"))
 
 
 def common(rows: DataFrame, by: list[str], docs: DataFrame, limit: int) -> DataFrame:
     """The values of ``by`` that stand in at least ``limit`` distinct documents, near copies counted once; rows: by, _text; docs as above."""
+    tables = Tables(rows.sparkSession)
     pairs = rows.select(*by, "_text").distinct()
-    often = cut(pairs.groupBy(*by).agg(F.count("*").alias("_docs")).where(F.col("_docs") >= limit).drop("_docs"))
-    pairs = cut(pairs.join(often, by, "left_semi"))
-    named = pairs.join(groups(docs, pairs), "_text", "left").select(*by, F.coalesce("_group", "_text").alias("_group"))
-    return named.distinct().groupBy(*by).agg(F.count("*").alias("_docs")).where(F.col("_docs") >= limit).select(*by)
+    often = pairs.groupBy(*by).agg(F.count("*").alias("_docs")).where(F.col("_docs") >= limit).drop("_docs")
+    pairs = tables.put(pairs.join(often, by, "left_semi"))
+    named = pairs.join(groups(docs, pairs, tables), "_text", "left").select(*by, F.coalesce("_group", "_text").alias("_group"))
+    found = cut(named.distinct().groupBy(*by).agg(F.count("*").alias("_docs")).where(F.col("_docs") >= limit).select(*by))
+    tables.drop()
+    return found

@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from cinderloom.llm import near_duplicates as nd
+from cinderloom.llm.common import Tables
 from cinderloom.llm.components import components
 
 
@@ -37,8 +38,8 @@ def brute(rows):
     return {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
 
 
-def result(df):
-    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.find(df).collect()}
+def result(df, **options):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.find(df, **options).collect()}
 
 
 def test_against_all_pairs(spark, sf):
@@ -46,9 +47,7 @@ def test_against_all_pairs(spark, sf):
     assert result(docs) == brute([tuple(r) for r in docs.collect()])
 
 
-def test_copies_edits_and_chains(spark, monkeypatch):
-    monkeypatch.setattr(nd.across, "__defaults__", (16,))  # so that groups and clusters fall into blocks
-    monkeypatch.setattr(nd.within_clusters, "__defaults__", (32, 1 << 16))
+def test_copies_edits_and_chains(spark):
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("abcdef") for _ in range(5))
     rows, i = [], 0
@@ -69,6 +68,7 @@ def test_copies_edits_and_chains(spark, monkeypatch):
     rows += [(i + 1, "x"), (i + 2, "X"), (i + 3, ""), (i + 4, None), (i + 5, " \n "), (i + 6, "x y"), (i + 7, "x\xa0y")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(df) == brute(rows)
+    assert result(df, block=16, exact_block=8, block_bytes=1 << 14) == brute(rows)  # groups and clusters fall into many cells
 
 
 def test_nulls_repeats_empty_and_clashes(spark):
@@ -84,9 +84,19 @@ def test_nulls_repeats_empty_and_clashes(spark):
 def test_overlaps():
     rnd = np.random.default_rng(5)
     sets = [np.unique(rnd.integers(0, 500, n).astype(np.uint64)) for n in (1, 5, 50, 300, 300)]
-    want = [[len(np.intersect1d(a, b)) if a is not b else None for b in sets] for a in sets]
-    got = nd.overlaps(sets, 64)
-    assert all(w is None or w == got[i][j] for i, row in enumerate(want) for j, w in enumerate(row))
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets[1:4]]
+    assert nd.overlaps(sets[1:4], sets, 64).tolist() == want
+    assert nd.overlaps([], sets).shape == (0, 5)
+
+
+def test_rows_with_equal_ids_and_other_texts(spark):
+    a, b = "a b c d e f g h i j k l m n", "q r s t u v w x y z"
+    df = spark.createDataFrame([(1, a, {"k": 1}), (2, a, None), (2, b, None), (3, b + " one", None)], "doc_id long, text string, m map<string,int>")
+    got = sorted((r.doc_id, r.component_id) for r in nd.find(df).collect())
+    assert got == [(1, 1), (2, 1), (2, 1), (3, 1)]
+    assert [tuple(r)[:2] for r in nd.drop_copies(df).collect()] == [(1, a)]
+    rows = [(1, b, 1), (1, a, 2), (1, a, 2)]
+    assert [tuple(r) for r in nd.drop_copies(spark.createDataFrame(rows, "doc_id long, text string, kept int")).collect()] == [(1, a, 2)]
 
 
 def test_estimate_is_unbiased():
@@ -109,6 +119,8 @@ def test_components(spark):
     for _ in range(200):
         for a, b in links:
             up[a] = up[b] = min(up[a], up[b])
-    for few in (0, 1000):  # distributed, and in one partition
-        got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long"), few).collect()}
-        assert got == {x: up[x] for a, b in links if a != b for x in (a, b)}
+    tables = Tables(spark)
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long"), tables).collect()}
+    assert got == {x: up[x] for a, b in links if a != b for x in (a, b)}
+    assert components(spark.createDataFrame([], "u long, v long"), tables).count() == 0
+    tables.drop()
