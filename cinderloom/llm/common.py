@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -72,6 +73,19 @@ class Tables:
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sieve(rows: DataFrame, col: str, keys: DataFrame, key: str, bits: int = 1 << 25) -> DataFrame:
+    """The rows whose ``col`` (a long) may be among the keys, without a shuffle of them: a bitmap of fixed size, as words of 64 bits, is broadcast.
+
+    However many keys there are, it has at most ``bits`` / 64 rows; the more there are, the more rows pass that have none.
+    """
+    slot = lambda c: F.pmod(F.col(c), F.lit(bits))
+    bit = lambda c: F.pmod(slot(c), F.lit(64)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(key))
+    words = keys.groupBy(F.floor(slot(key) / 64).alias("__word")).agg(F.bit_or(one).alias("__bits"))
+    there = F.call_function("shiftright", F.col("__bits"), bit(col)).bitwiseAND(F.lit(1).cast("long")) != 0
+    return rows.join(F.broadcast(words), F.floor(slot(col) / 64) == F.col("__word")).where(there).drop("__word", "__bits")
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable], schema: T.StructType, many: bool = False) -> DataFrame:
     """Maps rows with the function that ``make()`` gives in the worker, in slices of bounded size.
 
