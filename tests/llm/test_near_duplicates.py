@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from cinderloom.llm import near_duplicates as nd
-from cinderloom.llm.common import Tables
+from cinderloom.llm.common import Tables, sieve
 from cinderloom.llm.components import components
 
 
@@ -124,3 +124,11 @@ def test_components(spark):
     assert got == {x: up[x] for a, b in links if a != b for x in (a, b)}
     assert components(spark.createDataFrame([], "u long, v long"), tables).count() == 0
     tables.drop()
+
+
+def test_sieve_lets_all_keys_through(spark):
+    rows = spark.range(-500, 500).selectExpr("id * id * id * 7919 AS k", "'x' AS word")
+    keys = rows.where("k % 3 = 0").selectExpr("k AS key")
+    got = {r.k for r in sieve(rows, "k", keys, "key").collect()}
+    assert {r.key for r in keys.collect()} <= got and len(got) < 500
+    assert sieve(rows, "k", keys, "key", 64).count() >= len(got) and sieve(rows, "k", keys.limit(0), "key").count() == 0
