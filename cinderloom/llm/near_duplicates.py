@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Memo, Tables, cut, documents, map_cells, map_rows
+from .common import Memo, Tables, cut, documents, map_cells, map_rows, sieve
 from .components import components
 
 BUCKETS, BANDS, ROWS, MANTISSA = 256, 42, 6, 10
@@ -126,7 +126,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, _n, _regs, _set) of the documents among the nodes."""
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_regs", T.BinaryType()), T.StructField("_set", T.BinaryType())])
-    wanted = docs.join(nodes.select(F.col("node").alias("_key")), "_key", "left_semi").dropDuplicates(["_key", "_text"])
+    nodes = nodes.select(F.col("node").alias("_key"))
+    wanted = sieve(docs, "_key", nodes, "_key").join(nodes, "_key", "left_semi").dropDuplicates(["_key", "_text"])
 
     def row(key, text):
         x = shingles(text)

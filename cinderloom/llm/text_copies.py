@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, cut
+from .common import Tables, cut, sieve
 from .components import components
 from .native import let, words
 
@@ -41,8 +41,9 @@ def similar(a: Column, b: Column, percent: int = PERCENT) -> Column:
 
 def groups(docs: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
     """(_text, _group) of the texts that have near copies, among ``tables``; docs: _text (hash), text; texts: _text of those that matter."""
-    sketches = docs.select("_text", sketch(F.col("text")).alias("least")).where(F.size("least") > 0)
-    known = tables.put(sketches.join(texts.select("_text").distinct(), "_text", "left_semi").dropDuplicates(["_text"]))
+    texts = texts.select("_text").distinct()
+    sketches = sieve(docs, "_text", texts, "_text").select("_text", sketch(F.col("text")).alias("least")).where(F.size("least") > 0)
+    known = tables.put(sketches.join(texts, "_text", "left_semi").dropDuplicates(["_text"]))
     members = known.select("_text", F.explode(bands(F.col("least"))).alias("x")).select("_text", "x.*")
     leasts = members.groupBy("band", "key").agg(F.min("_text").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     pairs = members.join(leasts, ["band", "key"]).where("_text != _first").select(F.col("_text").alias("u"), F.col("_first").alias("v")).distinct()
