@@ -6,12 +6,14 @@ belong to a match are masked by a character of the same length), so very long ru
 recurse nor backtrack.
 
 Kinds, in order: email, ip, card (Luhn), phone, which are exact and always kept; then iban
-(mod-97) and ssn (three-two-four digits), which the method adds: a proposed span scores
-0.5 if its checksum holds or its digits are in the issued range, 0.4 for a context word among the
-``near`` characters before it, and is kept at ``threshold`` 0.5 or more (iban) and 0.9 (ssn).
+(mod-97) and ssn (three-two-four digits), which the method adds. A span's score begins with what its kind's pattern and validator
+are worth (``WORTH``: 0.6 where a checksum or a full address confirms it, 0.4 for plain digits), gains 0.3 for a word of its own
+context among the ``near`` characters before it, and loses 0.3 for a word of another one (part, serial and order numbers,
+versions). Added spans are kept at ``THRESHOLD`` 0.5 or more: a valid iban goes after "serial number" and stays
+after "account", an ssn needs its context. The others are kept whatever they score. Spans carry their scores, in tenths.
 
 Nulls count as empty texts, without spans. Repeated rows give repeated results, an empty table an
-empty result; other columns of the input are ignored. Spans of different kinds may overlap.
+empty result; other columns of the input are ignored by ``report`` and carried along by ``find`` and ``redact``. Spans of different kinds may overlap.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .native import let
 
 #: The patterns of the result's contract, in forms that cannot backtrack.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
@@ -29,8 +32,18 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
-CONTEXT = {"iban": "(?i)iban|account|bank|konto|cuenta|compte", "ssn": "(?i)ssn|social|security|sozial|seguro|sécu"}
-NEAR, THRESHOLD = 40, {"iban": 0.5, "ssn": 0.9}
+CONTEXT = {
+    "email": "(?i)mail|contact|kontakt|write to|correo",
+    "ip": r"(?i)\bip\b|address|host|server|client|adresse",
+    "card": r"(?i)card|visa|master|amex|credit|karte|carte|tarjeta",
+    "phone": "(?i)phone|call|tel|mobil|fax|dial|whatsapp",
+    "iban": "(?i)iban|account|bank|konto|cuenta|compte",
+    "ssn": "(?i)ssn|social|security|sozial|seguro|sécu",
+}
+OTHER = r"(?i)\b(?:serial|part|order|item|invoice|version|build|sku|isbn|article|ticket|hash)\b"
+#: In tenths, as all scores.
+WORTH = {"email": 6, "ip": 6, "card": 6, "phone": 4, "iban": 6, "ssn": 4}
+NEAR, THRESHOLD, STEP = 40, 5, 3
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -75,25 +88,26 @@ def mod97(iban: Column) -> Column:
 
 
 def find(df: DataFrame, text_col: str = "text", out: str = "pii", near: int = NEAR) -> DataFrame:
-    """The input with ``out``: array of (start, kind_no, end, kind), by start, then kind as listed."""
+    """The input with ``out``: array of (start, no, end, kind, score), by start, then kind as listed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    digit = F.col("_digit")
+    digit = F.col("__pii_digit")
     # a separator that has no digit on either side ends a card
     masked = F.regexp_replace(F.regexp_replace(text, "[ -](?![0-9])", "x"), "(?<![0-9])[ -]", "x")
     d = digits
-    near_words = lambda x, kind: F.when(F.substr(text, F.greatest(x["start"] + 1 - near, F.lit(1)), F.least(x["start"], F.lit(near))).rlike(CONTEXT[kind]), 0.4).otherwise(0.0)
-    scored = lambda x, kind, good: F.round(F.when(good, 0.5).otherwise(0.0) + near_words(x, kind), 2) >= THRESHOLD[kind]
+    before = lambda x: F.substr(text, F.greatest(x["start"] + 1 - near, F.lit(1)), F.least(x["start"], F.lit(near)))
+    score = lambda x, kind: let(before(x), lambda c: F.lit(WORTH[kind]) + F.when(c.rlike(CONTEXT[kind]), STEP).otherwise(0) - F.when(c.rlike(OTHER), STEP).otherwise(0))
+    added = lambda x, kind, good: good & (score(x, kind) >= THRESHOLD)
     found = {
         "email": when_any(text.contains("@"), matches(text, EMAIL)),
         "ip": F.filter(when_any(digit & text.contains("."), matches(text, IP)), lambda x: F.forall(F.split(x["found"], r"\."), at_most_255)),
         "card": F.filter(when_any(text.rlike("[0-9](?:[ -]?[0-9]){11}"), matches(masked, CARD)), lambda x: F.length(d(x["found"])).between(12, 19) & luhn(d(x["found"]))),
         "phone": F.filter(when_any(digit & text.contains("+"), matches(text, PHONE)), lambda x: F.length(d(x["found"])).between(9, 15)),
-        "iban": F.filter(when_any(digit, matches(text, IBAN)), lambda x: scored(x, "iban", mod97(x["found"]))),
-        "ssn": F.filter(when_any(digit & text.contains("-"), matches(text, SSN)), lambda x: scored(x, "ssn", ~F.substring(x["found"], 1, 3).isin("000", "666") & ~x["found"].startswith("9") & (F.substring(x["found"], 5, 2) != "00") & (F.substring(x["found"], 8, 4) != "0000"))),
+        "iban": F.filter(when_any(digit, matches(text, IBAN)), lambda x: added(x, "iban", mod97(x["found"]))),
+        "ssn": F.filter(when_any(digit & text.contains("-"), matches(text, SSN)), lambda x: added(x, "ssn", ~F.substring(x["found"], 1, 3).isin("000", "666") & ~x["found"].startswith("9") & (F.substring(x["found"], 5, 2) != "00") & (F.substring(x["found"], 8, 4) != "0000"))),
     }
-    as_span = lambda no, kind: lambda x: F.struct(x["start"].alias("start"), F.lit(no).alias("no"), x["end"].alias("end"), F.lit(kind).alias("kind"))
+    as_span = lambda no, kind: lambda x: F.struct(x["start"].alias("start"), F.lit(no).alias("no"), x["end"].alias("end"), F.lit(kind).alias("kind"), score(x, kind).alias("score"))
     as_spans = [F.transform(spans, as_span(no, kind)) for no, (kind, spans) in enumerate(found.items())]
-    return df.withColumn("_digit", text.rlike("[0-9]")).withColumn(out, F.array_sort(F.concat(*as_spans))).drop("_digit")
+    return df.withColumn("__pii_digit", text.rlike("[0-9]")).withColumn(out, F.array_sort(F.concat(*as_spans))).drop("__pii_digit")
 
 
 def joined(spans: Column) -> Column:
@@ -114,7 +128,7 @@ def redact(df: DataFrame, text_col: str = "text", spans_col: str = "pii") -> Dat
 def report(df: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("pii", lambda x: x["no"] < 4)
-    return df.select("doc_id", *map(count, KINDS[:4]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), *map(count, KINDS[4:]))
+    return df.select("doc_id", *map(count, KINDS[:4]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), *map(count, KINDS[4:]), F.array_join(F.transform("pii", lambda x: x["score"].cast("string")), ",").alias("scores"))
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
