@@ -5,11 +5,11 @@ five-word windows found twice or more in it. Method: lines are normalised (lower
 as 0, white space as one space) and hashed; a line is above the limit on a host (``source``) if at least
 ``limit`` distinct documents of the host have it. Documents with equal texts count once, and so does a group of near
 copies (``text_copies``), so copies do not make lines frequent. Such lines are removed, and a document is depleted, and rejected, if
-under ``least`` of its words remain.
+under ``least`` of its words remain. ``verdicts`` reports, ``keep`` gives the documents that stay, without the removed lines.
 
 Null texts count as empty and fail; a null host is a host of its own. Repeated rows give repeated
 results and count once; an empty table gives an empty result; other columns are carried along
-by ``judge`` (its own start with an underscore or are those of the result) and ignored by the query.
+by ``keep`` and ignored by ``verdicts``.
 
 Counting is by (host, line, text), then by (host, line), so a line that a third of all
 documents share is summed up in many tasks; near copies are looked for among the texts with lines in enough texts.
@@ -24,7 +24,7 @@ from .common import documents
 from .native import let, words
 from .text_copies import common
 
-LIMIT, LEAST, LEAST_WORDS, REPEATED = 20, 0.15, 10, 20
+LIMIT, LEAST, LEAST_WORDS, REPEATED = 20, 0.3, 10, 20
 
 
 def repeated_words(w: Column) -> Column:
@@ -59,10 +59,9 @@ def base(text: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """A row per line with a word: _id, _text (hash), _host, _line (hash), _at, _words."""
+    """A row per line with a word: _id, _text (hash), _host, _line (hash), _at (its number among all lines), _words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("at")))
+    rows = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("at"))), lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]"))
     df = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.explode(rows).alias("_x"))
     plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.col("_x.line"))), "[0-9]", "0"), r"\s+", " ")
     n_words = F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1
@@ -76,30 +75,44 @@ def frequent_lines(rows: DataFrame, docs: DataFrame, limit: int = LIMIT, text_co
 
 
 def removed_words(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(_id, _text, _host, _removed): the words of each document in lines above the limit, where there are any."""
+    """(_id, _text, _host, _removed, _gone): the words of each document in lines above the limit, and their numbers, where there are any."""
     rows = line_rows(docs, id_col, text_col, host_col)
     hits = rows.join(frequent_lines(rows, docs, limit, text_col), ["_host", "_line"], "left_semi")
-    return hits.select("_id", "_text", "_host", "_at", "_words").distinct().groupBy("_id", "_text", "_host").agg(F.sum("_words").alias("_removed"))
+    return hits.select("_id", "_text", "_host", "_at", "_words").distinct().groupBy("_id", "_text", "_host").agg(F.sum("_words").alias("_removed"), F.collect_list("_at").alias("_gone"))
 
 
-def verdicts(docs: DataFrame, limit: int = LIMIT, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """A row per document: id, _text, _host, the base counts, n_removed_words, base_failed, kept."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    left = docs.select(F.col(id_col), F.xxhash64(text).alias("_text"), F.coalesce(F.col(host_col), F.lit("")).alias("_host"), base(text).alias("_base"))
-    left = left.select(id_col, "_text", "_host", "_base.*")
-    right = removed_words(docs, limit, id_col, text_col, host_col)
-    on = left[id_col].eqNullSafe(right["_id"]) & (left["_text"] == right["_text"]) & (left["_host"] == right["_host"])
-    df = left.join(right, on, "left").select(*(left[c] for c in left.columns), F.coalesce(right["_removed"], F.lit(0)).cast("long").alias("n_removed_words"))
+def verdict(least: float = LEAST) -> tuple[Column, Column]:
+    """base_failed and kept, of the base counts and n_removed_words."""
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
-    df = df.withColumn("base_failed", failed)
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= least * F.col("n_words")))
+    return failed, ~failed & (F.col("n_words") - F.col("n_removed_words") >= least * F.col("n_words"))
 
 
-def keep(docs: DataFrame, **options) -> DataFrame:
-    """The documents that no rule rejects, with all their columns."""
-    bad = verdicts(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), "_text", "_host").distinct()
-    on = docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_text"]) & (F.coalesce(docs["source"], F.lit("")) == bad["_host"])
-    return docs.join(bad, on, "left_anti")
+def judged(docs: DataFrame, columns: list, limit: int, least: float, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """The columns of each document (expressions that may move with it), then _text, _host, _gone, n_removed_words."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    left = docs.select(*columns, F.col(id_col).alias("__id"), F.xxhash64(text).alias("_text"), F.coalesce(F.col(host_col), F.lit("")).alias("_host"))
+    right = removed_words(docs, limit, id_col, text_col, host_col).select("_id", F.col("_text").alias("_of"), F.col("_host").alias("_on"), "_removed", "_gone")
+    rows = left.join(right, left["__id"].eqNullSafe(right["_id"]) & (F.col("_text") == F.col("_of")) & (F.col("_host") == F.col("_on")), "left")
+    return rows.withColumn("n_removed_words", F.coalesce("_removed", F.lit(0)).cast("long")).drop("__id", "_id", "_of", "_on", "_removed")
+
+
+def verdicts(docs: DataFrame, limit: int = LIMIT, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """A row per document: id, _text, _host, the base counts, n_removed_words, base_failed, kept."""
+    docs = docs.select(id_col, text_col, host_col)
+    rows = judged(docs, [F.col(id_col), base(F.coalesce(F.col(text_col), F.lit(""))).alias("_base")], limit, least, id_col, text_col, host_col)
+    failed, kept = verdict(least)
+    return rows.select(id_col, "_text", "_host", "_base.*", "n_removed_words").withColumns({"base_failed": failed, "kept": kept})
+
+
+def keep(docs: DataFrame, limit: int = LIMIT, least: float = LEAST) -> DataFrame:
+    """The documents that no rule rejects, with all their columns, without their lines above the limit."""
+    whole = F.struct(*docs.columns).alias("__whole")
+    rows = judged(docs.select(whole, "doc_id", "text", "source"), ["__whole"], limit, least, "doc_id", "text", "source")
+    rows = rows.withColumn("__base", base(F.coalesce(F.col("__whole.text"), F.lit(""))))
+    rows = rows.select("__whole", "_gone", "n_removed_words", F.col("__base.n_words"), F.col("__base.n_repeat_words")).where(verdict(least)[1])
+    lines = F.filter(F.split("__whole.text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
+    rows = rows.withColumn("__text", F.when(F.col("_gone").isNull(), F.col("__whole.text")).otherwise(F.array_join(lines, "\n")))
+    return rows.select(*(F.col("__text").alias("text") if c == "text" else F.col("__whole").getField(c).alias(c) for c in docs.columns))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,3 +84,38 @@ def test_blocks_in_fixed_order_deplete(spark):
     assert all(got[i].n_removed_words == 40 and not got[i].kept for i in range(60))
     assert all(got[i].n_removed_words == 24 and got[i].kept for i in range(60, 80))
     assert all(got[i].n_removed_words == 0 and got[i].kept for i in got if i >= 80)
+    texts = {i: t for i, t, _ in docs}
+    left = {r.doc_id: r.text for r in keep(df).collect()}
+    assert left.keys() == {i for i in got if got[i].kept}
+    assert all(left[i] == ("\n".join(x for x in texts[i].split("\n") if x not in block) if i < 80 else texts[i]) for i in left)
+
+
+def normalised(line):
+    return re.sub(r"\s+", " ", re.sub("[0-9]", "0", line.strip(" ").lower()))
+
+
+def test_verdicts_by_a_plain_count_of_lines(spark):
+    """Texts without near copies, so that documents are texts."""
+    rnd = random.Random(31)
+    line = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    heads = [line(rnd.randrange(2, 9)) + rnd.choice(["", " 1", " 22"]) for _ in range(12)]
+    rows = []
+    for i in range(500):
+        parts = [line(rnd.randrange(3, 20)), *(rnd.choice(heads).replace("1", str(rnd.randrange(10))).upper() for _ in range(rnd.randrange(0, 6))), " \t", ""]
+        rnd.shuffle(parts)
+        rows.append((i, "\n".join(parts), rnd.choice(["h1", "h1", "h2", "h3", None])))
+    rows += rnd.sample(rows, 30)
+    on = {}
+    for _, text, host in rows:
+        for x in text.split("\n"):
+            if x.split():
+                on.setdefault((host, normalised(x)), set()).add(text)
+    often = {k for k, texts in on.items() if len(texts) >= 20}
+    got = {r.doc_id: r for r in verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    gone = 0
+    for i, text, host in rows:
+        removed = sum(len(x.split()) for x in text.split("\n") if x.split() and (host, normalised(x)) in often)
+        n, *_, failed = brute(text)
+        assert got[i].n_removed_words == removed and got[i].kept == (not failed and n - removed >= 0.3 * n), i
+        gone += not failed and not got[i].kept
+    assert gone > 10
