@@ -73,7 +73,7 @@ class Tables:
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def sieve(rows: DataFrame, col: str, keys: DataFrame, key: str, bits: int = 1 << 25) -> DataFrame:
+def sieve(rows: DataFrame, col: str, keys: DataFrame, key: str, bits: int = 1 << 23) -> DataFrame:
     """The rows whose ``col`` (a long) may be among the keys, without a shuffle of them: a bitmap of fixed size, as words of 64 bits, is broadcast.
 
     However many keys there are, it has at most ``bits`` / 64 rows; the more there are, the more rows pass that have none.

@@ -184,8 +184,9 @@ def clean_lines(docs: DataFrame, **options) -> DataFrame:
 
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
     """The rows with their recurring lines dropped; rows that had lines and lost all of them go."""
-    df = clean(docs, **options)
-    return df.where((F.col("__dropped") == 0) | (F.col("__dropped") < F.col("__lines"))).withColumn("text", F.col("__clean")).select(*docs.columns)
+    df = clean(docs.select(F.struct(*docs.columns).alias("__whole"), "doc_id", "text"), **options)
+    df = df.where((F.col("__dropped") == 0) | (F.col("__dropped") < F.col("__lines")))
+    return df.select(*(F.col("__clean").alias("text") if c == "text" else F.col("__whole").getField(c).alias(c) for c in docs.columns))
 
 
 def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
