@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import BUCKETS
+from .text import let
 
 #: A rule each, in the order of the buckets; the last two look at the whole code, not at the blocks alone.
 RULES = (
@@ -24,6 +25,7 @@ RULES = (
 )
 WHOLE_RULES = (("staggered", r"animation-delay\s*:|nth-child\s*\("), ("hover", r":hover\s*\{"))
 KEYFRAMES = r"(?i)@keyframes\b"
+#: Fixed value: what marks parts of an interface.
 UI_MARKERS = r"(?i)<button|<input|<form|<textarea|<select\b|<nav\b|<a\s|class=[\"'][^\"']*\b(?:btn|button|card|menu|modal|navbar|tooltip|dropdown|toggle|switch)\b"
 
 
@@ -61,12 +63,13 @@ def keyframe_blocks(code: Column) -> Column:
 
 def buckets(code: Column, blocks: Column) -> Column:
     """array<string>: the kinds of animation, in the order of the buckets."""
-    inner = F.array_join(blocks, " ")
-    found = [F.when(inner.rlike("(?i)" + p), name) for name, p in RULES] + [F.when(code.rlike("(?i)" + p), name) for name, p in WHOLE_RULES] + [F.when(F.size(blocks) > 1, "multi_keyframe")]
-    named = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return F.when(F.size(named) > 0, named).otherwise(F.array(F.lit(BUCKETS[-1])))
+    whole = [F.when(code.rlike("(?i)" + p), name) for name, p in WHOLE_RULES] + [F.when(F.size(blocks) > 1, "multi_keyframe")]
+    found = lambda inner: F.filter(F.array(*(F.when(inner.rlike("(?i)" + p), name) for name, p in RULES), *whole), lambda x: x.isNotNull())
+    named = let(F.array_join(blocks, " "), found)
+    return let(named, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(BUCKETS[-1]))))
 
 
 def classified(df, code_col: str = "code"):
-    """With ``blocks`` and ``buckets``; blocks are folded once."""
-    return df.withColumn("blocks", keyframe_blocks(F.col(code_col))).withColumn("buckets", buckets(F.col(code_col), F.col("blocks")))
+    """With ``blocks`` and ``buckets``; the blocks are folded once for both."""
+    both = let(keyframe_blocks(F.col(code_col)), lambda b: F.struct(b.alias("blocks"), buckets(F.col(code_col), b).alias("buckets")))
+    return df.withColumn("__found", both).withColumns({"blocks": F.col("__found.blocks"), "buckets": F.col("__found.buckets")}).drop("__found")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ _STRIP = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 _FENCE = r"(?s)```[\w-]*\s*\n?(.*?)```"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, wherever the optimizer puts the expression."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end, by Unicode's notion of it and the separators U+001C to U+001F."""
     return F.regexp_replace(text, _STRIP, "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -69,13 +70,16 @@ def generator(call: Callable[[str, list[str]], tuple[str, dict[str, int]]], atte
     return generate
 
 
-def run_cascade(briefs: DataFrame, tiers: Iterable[str], batch_size: int, generate: Callable[[str, DataFrame], DataFrame], validate: Callable[[DataFrame], DataFrame], on_keep: Callable[[DataFrame], None] | None = None, ordinal: str = "ordinal", cut: Cut | None = None) -> tuple[DataFrame, list[dict], DataFrame]:
+def run_cascade(briefs: DataFrame, tiers: Iterable[str], batch_size: int, generate: Callable[[str, DataFrame], DataFrame], validate: Callable[[DataFrame], DataFrame], on_keep: Callable[[DataFrame], None] | None = None, ordinal: str = "ordinal", cut: Cut | None = None, log: Callable[[str], None] | None = None) -> tuple[DataFrame, list[dict], DataFrame]:
     """(kept rows with their tier, a list of tier statistics, usage rows).
 
     Every tier's answers and verdicts are cut off from their history, since models answer differently when asked again.
-    Of the last tier's failures nothing is kept; they are counted. ``validate`` gives rows an ``ok``.
+    Of the last tier's failures nothing is kept; they are counted. ``validate`` gives rows an ``ok``. ``log`` gets a line before
+    and after each tier.
     """
     cut = cut or (lambda df: df.checkpoint(eager=True))
+    log = log or logging.getLogger(__name__).info
+    tiers = list(tiers)
     spark = briefs.sparkSession
     kept_all, stats, usage_all = None, [], None
     pending = cut(briefs.select(F.col(ordinal).alias("ordinal"), "description"))
@@ -83,6 +87,7 @@ def run_cascade(briefs: DataFrame, tiers: Iterable[str], batch_size: int, genera
         attempted = pending.count()
         if not attempted:
             break
+        log(f"{tier}: {attempted} briefs in {-(-attempted // batch_size)} batches")
         batched = cut(batches(pending, batch_size))
         answers = cut(generate(tier, batched))
         parsed = parse_answers(answers, batched).withColumn("row_id", F.col("ordinal"))
@@ -90,15 +95,16 @@ def run_cascade(briefs: DataFrame, tiers: Iterable[str], batch_size: int, genera
         kept = judged.where("ok").select("ordinal", "description", "code", F.lit(tier).alias("tier"), "batch_id", "idx")
         rejected = judged.where("not ok").select("description", "batch_id", F.lit(0).alias("kind"), "idx")
         failed = rejected.unionByName(not_parsed(batched, parsed).select("description", "batch_id", F.lit(1).alias("kind"), "idx"))
-        n_kept, n_failed = kept.count(), failed.count()
+        order = failed.withColumn("ordinal", F.col("batch_id") * (2 * batch_size + 2) + F.col("kind") * (batch_size + 1) + F.col("idx"))
+        pending = cut(order.select("ordinal", "description"))
+        n_kept, n_failed = judged.where("ok").count(), pending.count()
+        log(f"{tier}: kept {n_kept}, failed {n_failed}" + (", dropped" if n_failed and tier == tiers[-1] else ""))
         if on_keep is not None:
             on_keep(kept)
         stats.append({"tier": tier, "attempted": attempted, "kept": n_kept, "failed": n_failed})
         used = answers.select(F.lit(tier).alias("model"), "in", "out", "cw", "cr")
         kept_all = kept if kept_all is None else kept_all.unionByName(kept)
         usage_all = used if usage_all is None else usage_all.unionByName(used)
-        order = failed.withColumn("ordinal", F.col("batch_id") * (2 * batch_size + 2) + F.col("kind") * (batch_size + 1) + F.col("idx"))
-        pending = cut(order.select("ordinal", "description"))
     kept_all = kept_all if kept_all is not None else spark.createDataFrame([], "ordinal long, description string, code string, tier string, batch_id long, idx int")
     usage_all = usage_all if usage_all is not None else spark.createDataFrame([], "model string, `in` long, out long, cw long, cr long")
     return kept_all, stats, usage_all

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.text import normalise
 
 THRESHOLD = 0.82
+#: Briefs that one call compares; the work grows with the square of briefs of like length.
+MOST_BRIEFS = 200_000
 
 
 def first_wins(df: DataFrame, keys: list[str], ordinal: str = "ordinal") -> DataFrame:
@@ -23,7 +25,14 @@ def first_wins(df: DataFrame, keys: list[str], ordinal: str = "ordinal") -> Data
 
 def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity with a as the new text and b as the earlier one; it is not symmetric."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    matcher, held, out = difflib.SequenceMatcher(), None, []
+    for x, y in zip(a, b, strict=True):
+        if y != held:  # what is known of the earlier text is kept for its next pairs
+            matcher.set_seq2(y)
+            held = y
+        matcher.set_seq1(x)
+        out.append(matcher.ratio())
+    return pd.Series(out, dtype="float64")
 
 
 def similar_pairs(new: DataFrame, threshold: float = THRESHOLD, step: int = 8) -> DataFrame:
@@ -46,7 +55,7 @@ def similar_pairs(new: DataFrame, threshold: float = THRESHOLD, step: int = 8) -
     close = a.join(b, "bucket").where((F.col("b_ordinal") < F.col("a_ordinal")) & (F.least("a_len", "b_len") >= reach * F.greatest("a_len", "b_len")) & (bound >= threshold))
     ratio = F.pandas_udf(ratios, "double")
     # few bytes but much work a row: adaptive execution would gather them in a few tasks
-    close = close.select("a_ordinal", "b_ordinal", "a_norm", "b_norm").repartition(new.sparkSession.sparkContext.defaultParallelism * 4)
+    close = close.select("a_ordinal", "b_ordinal", "a_norm", "b_norm").repartition(new.sparkSession.sparkContext.defaultParallelism * 4).sortWithinPartitions("b_ordinal")
     return close.where(ratio("a_norm", "b_norm") >= threshold).select(F.col("a_ordinal").alias("later"), F.col("b_ordinal").alias("earlier"))
 
 
@@ -81,6 +90,8 @@ def near_dedupe(new: DataFrame, existing: DataFrame | None = None, text_col: str
     """
     rows = new.select(F.col(ordinal).alias("ordinal"), normalise(F.col(text_col)).alias("norm")).where("norm != ''")
     rows = first_wins(rows, ["norm"])
+    if (n := rows.count()) > MOST_BRIEFS:
+        raise ValueError(f"{n} briefs; over {MOST_BRIEFS} are more than a comparison of pairs can do")
     if existing is not None:
         old = existing.select(normalise(F.col(text_col)).alias("norm")).where("norm != ''").distinct()
         rows = rows.join(old, "norm", "left_anti")

@@ -13,10 +13,12 @@ def numbered(df: DataFrame, ordinal: str = "ordinal", name: str = "position") ->
     Rows are dealt out by ranges of the ordinal, counted per part, and numbered within the parts; only the parts'
     counts meet in one place.
     """
+    # equal ordinals stand by their other columns, so that positions don't depend on the layout
+    ties = [F.xxhash64(*(c for c, kind in df.dtypes if "map<" not in kind))]
     parts = df.repartitionByRange(ordinal).withColumn("__part", F.spark_partition_id()).checkpoint(eager=True)
     counts = parts.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(ordinal)) - 1
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a part
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(ordinal, *ties)) - 1
     return parts.join(before, "__part").withColumn(name, within + F.col("__before")).drop("__part", "__before")
 
 
@@ -35,6 +37,11 @@ def tail(df: DataFrame, n: int, ordinal: str = "ordinal") -> DataFrame:
     return df.orderBy(F.col(ordinal).desc()).limit(n).orderBy(ordinal)
 
 
+def drawn(key: Column | str, seed: int) -> Column:
+    """What rows are drawn by: a hash of seed and key that other engines share."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string") if isinstance(key, str) else key.cast("string")))
+
+
 def sample_per_stratum(df: DataFrame, stratum: str, sizes: dict[str, int], key: str, seed: int = 42) -> DataFrame:
     """Up to so many rows of each stratum, by the hash of seed and key; strata in the given order.
 
@@ -42,10 +49,10 @@ def sample_per_stratum(df: DataFrame, stratum: str, sizes: dict[str, int], key:
     """
     out = None
     for rank, (name, n) in enumerate(sizes.items()):
-        part = df.where(F.col(stratum) == name).orderBy(F.xxhash64(F.lit(seed), key), key).limit(n).withColumn("stratum_rank", F.lit(rank))
+        part = df.where(F.col(stratum) == name).orderBy(drawn(key, seed), key).limit(n).withColumn("stratum_rank", F.lit(rank))
         out = part if out is None else out.union(part)
     return out
 
 
 def sample(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.orderBy(drawn(key, seed), key).limit(n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions.chat import turn
 from ..functions.text import bin_index
 from ..schemas import BUCKETS
+from .order import drawn
 
 SKEW = 0.12
 
@@ -42,6 +44,30 @@ def label_totals(df: DataFrame) -> DataFrame:
     return df.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
+def to_val(n: int, val: float, val_all: float, train: float, train_all: float) -> int:
+    """How many of n alike rows go to validation if each goes to the side that wants more of the label, then more rows, then to training.
+
+    The lead of one side shrinks by one a row until the sides are level; from there on they take turns.
+    """
+    lead, lead_all = val - train, val_all - train_all
+    first = min(n, max(0, math.ceil(abs(lead)) - 1))  # rows that go to the leading side whatever the others do
+    k = first if lead > 0 else 0
+    lead -= first if lead > 0 else -first
+    lead_all -= first if k else -first
+    rest, step = n - first, 0
+    while rest and step < 8:  # near level: some single steps
+        side = (lead, lead_all) > (0, 0)
+        k, rest, step = k + side, rest - 1, step + 1
+        lead, lead_all = lead - (1 if side else -1), lead_all - (1 if side else -1)
+    if rest:  # level: every two steps come back to the same leads
+        side = (lead, lead_all) > (0, 0)
+        after = (lead - (1 if side else -1), lead_all - (1 if side else -1)) > (0, 0)
+        if side == after:  # pragma: no cover - the lead changes sign at every step here
+            raise AssertionError("the sides do not take turns")
+        k += rest // 2 + (rest % 2 and side)
+    return k
+
+
 def quotas(signatures: list[tuple[tuple[str, ...], int]], val_share: float) -> dict[tuple[str, ...], int]:
     """How many rows of each set of labels go to validation, by greedy iterative stratification.
 
@@ -70,30 +96,51 @@ def quotas(signatures: list[tuple[tuple[str, ...], int]], val_share: float) -> d
             break
         _, label = min(open_)
         for s in sorted(by_label[label]):
-            for _ in range(left[s]):
-                side = "val" if (wants["val"][label], wanted["val"]) > (wants["train"][label], wanted["train"]) else "train"
-                out[s] += side == "val"
-                wanted[side] -= 1
+            if n := left[s]:
+                k = to_val(n, wants["val"][label], wanted["val"], wants["train"][label], wanted["train"])
+                out[s] += k
+                for side, m in (("val", k), ("train", n - k)):
+                    wanted[side] -= m
+                    for x in s:
+                        wants[side][x] -= m
                 for x in s:
-                    wants[side][x] -= 1
-            for x in s:
-                remaining[x] -= left[s]
-            left[s] = 0
+                    remaining[x] -= n
+                left[s] = 0
     return out
 
 
+def ranked(df: DataFrame, by: str, order: Column, name: str) -> DataFrame:
+    """With the place, from 1, of each row within its group ``by``, in the order of a hash, where a group may have very many rows.
+
+    Rows are dealt out by group and range of the hash, ranges are counted, and places are counted within a range: a
+    group of ``n`` rows is in as many tasks as its ranges. The ranges are the hash's first hexadecimal digits.
+    """
+    rows = df.withColumn("__order", order).withColumn("__range", F.substring("__order", 1, 3))
+    counts = rows.groupBy(by, "__range").agg(F.count("*").alias("__n"))
+    before = counts.select(by, "__range", (F.sum("__n").over(Window.partitionBy(by).orderBy("__range")) - F.col("__n")).alias("__before"))  # 4096 rows a group at most
+    within = F.row_number().over(Window.partitionBy(by, "__range").orderBy("__order", F.xxhash64(*(c for c, kind in df.dtypes if "map<" not in kind))))
+    return rows.join(before, [by, "__range"]).withColumn(name, within + F.col("__before")).drop("__order", "__range", "__before")
+
+
+#: Label sets that the greedy pass on the driver takes.
+MOST_SETS = 200_000
+
+
 def stratified_split(df: DataFrame, key: str, val_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Rows with ``labels`` get ``is_val``. Rows of one label set are drawn by the hash of seed and key.
 
-    The same seed gives the same split. The label sets' counts go to the driver; sets are few beside rows.
+    The same seed gives the same split. The label sets' counts go to the driver; sets are few beside rows, and over
+    ``MOST_SETS`` of them raise an error before any comes.
     """
     spark = df.sparkSession
     signed = df.withColumn("__sig", F.array_sort("labels"))
-    counts = signed.groupBy("__sig").agg(F.count("*").alias("n")).collect()
-    found = quotas([(tuple(r["__sig"]), r["n"]) for r in counts], val_share)
-    plan = spark.createDataFrame([(list(s), int(n)) for s, n in found.items()], "__sig array<string>, __quota int") if found else spark.createDataFrame([], "__sig array<string>, __quota int")
-    ranked = signed.withColumn("__rank", F.row_number().over(Window.partitionBy("__sig").orderBy(F.xxhash64(F.lit(seed), key), key)))
-    return ranked.join(plan, "__sig", "left").withColumn("is_val", F.col("__rank") <= F.coalesce("__quota", F.lit(0))).select(*df.columns, "is_val")
+    counts = signed.groupBy("__sig").agg(F.count("*").alias("n")).checkpoint(eager=True)
+    if counts.count() > MOST_SETS:
+        raise ValueError(f"over {MOST_SETS} different label sets")
+    found = quotas([(tuple(r["__sig"]), r["n"]) for r in counts.collect()], val_share)
+    plan = spark.createDataFrame([(list(s), int(n)) for s, n in found.items()], "__sig array<string>, __quota long") if found else spark.createDataFrame([], "__sig array<string>, __quota long")
+    rows = ranked(signed, "__sig", drawn(key, seed), "__rank")
+    return rows.join(F.broadcast(plan), "__sig", "left").withColumn("is_val", F.col("__rank") <= F.coalesce("__quota", F.lit(0))).select(*df.columns, "is_val")
 
 
 def val_share(df: DataFrame) -> DataFrame:

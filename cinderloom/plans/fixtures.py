@@ -65,11 +65,13 @@ def dim_sql(names, key: str = "bucket") -> str:
     return "(VALUES " + ", ".join(f"('{x}', {i})" for i, x in enumerate(names)) + f") AS dim({key}, dim_ordinal)"
 
 
-CORPUS = f"corpus AS (SELECT doc_id AS ordinal, substr(text, 1, 280) AS description, lang AS category, source, n_chars, text, {code_sql()} AS code FROM documents)"
+CORPUS = f"corpus AS (SELECT doc_id AS ordinal, text AS description, lang AS category, source, n_chars, text, {code_sql()} AS code FROM documents)"
 CLASSIFIED = f"""{CORPUS}, blocked AS (SELECT *, {blocks_sql("code")} AS blocks FROM corpus),
 classified AS (SELECT * EXCLUDE (found), CASE WHEN len(found) = 0 THEN ['{BUCKETS[-1]}'] ELSE found END AS buckets FROM (SELECT *, {buckets_sql("code", "blocks")} AS found FROM blocked))"""
-CHAT = f"""turns AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS prompt, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS reply FROM conversations GROUP BY conv_id),
-chat AS (SELECT conv_id AS ordinal, prompt, {code_sql("conv_id")} || reply AS answer, CASE WHEN conv_id % 3 = 0 THEN 'made' ELSE 'hub' END AS source FROM turns WHERE prompt IS NOT NULL AND reply IS NOT NULL),
+TURN = "conv_id * 1000 + turn"
+BRIEFS = f"briefs AS (SELECT {TURN} AS ordinal, text AS description FROM conversations WHERE role = 'user')"
+CHAT = f"""turns AS (SELECT u.conv_id * 1000 + u.turn AS ordinal, u.conv_id, u.text AS prompt, a.text AS reply FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant'),
+chat AS (SELECT ordinal, prompt, {code_sql("ordinal")} || reply AS answer, CASE WHEN conv_id % 3 = 0 THEN 'made' ELSE 'hub' END AS source FROM turns WHERE prompt IS NOT NULL AND reply IS NOT NULL),
 chat_blocked AS (SELECT *, {blocks_sql("answer")} AS blocks FROM chat),
 chats AS (SELECT * EXCLUDE (found), CASE WHEN len(found) = 0 THEN ['{BUCKETS[-1]}'] ELSE found END AS buckets FROM (SELECT *, {buckets_sql("answer", "blocks")} AS found FROM chat_blocked))"""
 LABELLED = "lab AS (SELECT d.doc_id, d.text, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
@@ -77,9 +79,9 @@ LABELLED = "lab AS (SELECT d.doc_id, d.text, d.n_chars, l.quality, l.toxic FROM
 
 def run_sql(name: str, twist: int) -> str:
     """An evaluation run; twist makes runs differ."""
-    return f"""{name} AS (SELECT doc_id AS ordinal, substr(text, 1, 60) || '#' || CAST(doc_id AS VARCHAR) AS description, {output_sql()} AS output,
+    return f"""{name} AS (SELECT doc_id AS ordinal, text || '#' || CAST(doc_id AS VARCHAR) AS description, {output_sql()} AS output,
 CAST(n_chars AS DOUBLE) * 0.37e0 AS nll, n_chars AS n_tokens, quality = 1 AND doc_id % {twist} <> 0 AS render_raw, quality = 1 OR doc_id % {twist + 1} = 0 AS render_ext,
-toxic = 0 AND doc_id % {twist} <> 1 AS match_raw, toxic = 0 AS match_ext FROM lab WHERE doc_id % {twist + 4} <> 2)"""
+toxic = 0 AND doc_id % {twist} <> 1 AS match_raw, toxic = 0 AS match_ext FROM lab)"""
 
 
 RUNS = f"{LABELLED}, {run_sql('base', 2)}, {run_sql('tuned', 5)}"
@@ -95,25 +97,31 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("ordinal"), F.substring("text", 1, 280).alias("description"), F.col("lang").alias("category"), "source", "n_chars", "text", F.expr(code_sql()).alias("code"))
+    return docs.select(F.col("doc_id").alias("ordinal"), F.col("text").alias("description"), F.col("lang").alias("category"), "source", "n_chars", "text", F.expr(code_sql()).alias("code"))
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ordinal, prompt, answer, source): the first turns of each conversation."""
-    first = lambda role: F.expr(f"min_by(text, turn) filter (where role = '{role}')")
-    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(first("user").alias("prompt"), first("assistant").alias("reply"))
-    return turns.where("prompt is not null and reply is not null").select(
-        F.col("conv_id").alias("ordinal"), "prompt", F.concat(F.expr(code_sql("conv_id")), "reply").alias("answer"), F.expr("CASE WHEN conv_id % 3 = 0 THEN 'made' ELSE 'hub' END").alias("source")
+    """(ordinal, prompt, answer, source): every user's turn with the answer that follows it."""
+    said = read(spark, sf_dir, "conversations")
+    asked = said.where("role = 'user'").select("conv_id", "turn", F.expr(TURN).alias("ordinal"), F.col("text").alias("prompt"))
+    answered = said.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    return asked.join(answered, ["conv_id", "turn"]).where("prompt is not null and reply is not null").select(
+        "ordinal", "prompt", F.concat(F.expr(code_sql("ordinal")), "reply").alias("answer"), F.expr("CASE WHEN conv_id % 3 = 0 THEN 'made' ELSE 'hub' END").alias("source")
     )
 
 
+def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ordinal, description): every user's turn."""
+    return read(spark, sf_dir, "conversations").where("role = 'user'").select(F.expr(TURN).alias("ordinal"), F.col("text").alias("description"))
+
+
 def run(spark: SparkSession, sf_dir: str, twist: int) -> DataFrame:
     from ..functions.text import fenced_code
 
-    lab = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left").where(f"doc_id % {twist + 4} <> 2")
+    lab = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
     return lab.select(
         F.col("doc_id").alias("ordinal"),
-        F.expr("substr(text, 1, 60) || '#' || CAST(doc_id AS STRING)").alias("description"),
+        F.expr("text || '#' || CAST(doc_id AS STRING)").alias("description"),
         F.expr(output_sql()).alias("output"),
         F.expr("CAST(n_chars AS DOUBLE) * 0.37e0").alias("nll"),
         F.col("n_chars").alias("n_tokens"),

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import chat as C
 from ..functions import css, html, text
-from ..operators import cascade, dedupe, evaluate, gates, order, report, split
-from ..sources import jsonl
+from ..operators import cascade, dedupe, evaluate, gates, order, prompts, report, split
+from ..sources import jsonl, store
 from . import fixtures as X
-from .fixtures import CHAT, CLASSIFIED, CORPUS, FRAMES, LOG, PRICING, RUNS, USAGE
+from .fixtures import BRIEFS, CHAT, CLASSIFIED, CORPUS, FRAMES, LOG, PRICING, RUNS, USAGE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,13 +44,31 @@ def chats(spark, sf):
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's folder; one of our own only where it names none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
+    """A checkpoint in the session's folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it; a local session without one (tests) gets one of this machine."""
+    sc = spark.sparkContext
+    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cinderloom-"))
-    return df.checkpoint(eager=True)
+        found = tempfile.mkdtemp(prefix="cinderloom-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found
+
+
+def fresh(spark: SparkSession) -> str:
+    """A folder of its own for a query's files."""
+    import uuid
+
+    return f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
 
 
 # --- sources and sinks ----------------------------------------------------------------------------------------------
@@ -63,9 +81,9 @@ def s1(spark, sf):
     return part("train", 0).unionByName(part("validation", 1_000_000_000))
 
 
-@query("s2_s3_jsonl_records", "SELECT doc_id AS ordinal, substr(text, 1, 280) AS description, 'prior' AS source FROM documents WHERE doc_id % 5 <> 0")
+@query("s2_s3_jsonl_records", "SELECT doc_id AS ordinal, text AS description, 'prior' AS source FROM documents WHERE doc_id % 5 <> 0")
 def s2(spark, sf):
-    line = F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.to_json(F.struct(F.substring("text", 1, 280).alias("description"), F.lit("own").alias("source"))))
+    line = F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.to_json(F.struct(F.col("text").alias("description"), F.lit("own").alias("source"))))
     lines = X.read(spark, sf, "documents").select(F.col("doc_id").alias("ordinal"), line.alias("value"))
     return jsonl.parse_lines(lines, schemas.struct(description=schemas.S, source=schemas.S), "prior").select("ordinal", "description", "source")
 
@@ -91,26 +109,69 @@ def s9(spark, sf):
     return report.bucket_counts(classified(spark, sf))
 
 
-@query("s12_structured_output", "SELECT doc_id, substr(text, 1, 280) AS description, lang AS technique FROM documents WHERE doc_id % 4 <> 0")
+@query("s12_structured_output", "SELECT doc_id, text AS description, lang AS technique FROM documents WHERE doc_id % 4 <> 0")
 def s12(spark, sf):
-    good = F.to_json(F.struct(F.array(F.struct(F.substring("text", 1, 280).alias("description"), F.array("lang").alias("techniques"))).alias("prompts")))
+    good = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("description"), F.array("lang").alias("techniques"))).alias("prompts")))
     answer = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("{"), "lang")).otherwise(good)
     parsed = X.read(spark, sf, "documents").select("doc_id", C.parsed_json(answer, schemas.PROMPTS_OUTPUT)["prompts"].alias("p")).where("p is not null")
     return parsed.select("doc_id", F.explode("p").alias("p")).select("doc_id", "p.description", F.get("p.techniques", F.lit(0)).alias("technique"))
 
 
-@query("k1_k2_lines", "SELECT doc_id, '{\"lang\":\"' || lang || '\",\"n_chars\":' || CAST(n_chars AS VARCHAR) || '}' AS line FROM documents")
+@query("k1_k2_lines", "SELECT lang, n_chars, count(*) AS n, '{\"lang\":\"' || lang || '\",\"n_chars\":' || CAST(n_chars AS VARCHAR) || '}' AS line FROM documents GROUP BY lang, n_chars")
 def k1(spark, sf):
-    docs = X.read(spark, sf, "documents").select("doc_id", "lang", "n_chars")
-    return docs.select("doc_id", jsonl.as_lines(docs, "doc_id").alias("line"))
+    """Written as lines in order, appended to, and read again with their order."""
+    docs, path = X.read(spark, sf, "documents").select("doc_id", "lang", "n_chars"), fresh(spark)
+    jsonl.write_jsonl(docs.where("doc_id % 2 = 0"), path, "doc_id")
+    jsonl.write_jsonl(docs.where("doc_id % 2 = 1").withColumn("n_chars", F.col("n_chars") + 0), path, "doc_id", mode="append")
+    back = jsonl.read_jsonl(spark, path, schemas.struct(lang=schemas.S, n_chars=schemas.L))
+    return cut(back.groupBy("lang", "n_chars").agg(F.count("*").alias("n"), F.max_by(jsonl.as_lines(back, "ordinal"), "ordinal").alias("line")))
+
+
+def colour_sql(bucket: str) -> str:
+    return f"CASE {bucket} {' '.join(f'WHEN {X.quoted(k)} THEN {X.quoted(v)}' for k, v in html.BUCKET_COLOURS.items())} ELSE '{html.OTHER_COLOUR}' END"
 
 
-@query("k6_f5_gallery_cards")
+def escaped_sql(x: str) -> str:
+    for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        x = f"replace({x}, {X.quoted(raw)}, '{name}')"
+    return x
+
+
+WRAPPED = f"CASE WHEN regexp_matches(code, '(?i)<!doctype|<html[\\s>]') THEN code ELSE {X.quoted(html.WRAP_HEAD)} || code || '</body></html>' END"
+
+
+@query("k6_f5_gallery_cards", f"""WITH {CLASSIFIED} SELECT ordinal, coalesce(category, '') AS category,
+array_to_string(list_transform(buckets, lambda b: '<mark data-bucket="' || b || '" style="--tint:' || {colour_sql("b")} || '">' || b || '</mark>'), '') AS bucket_spans,
+coalesce(description, '') AS description, replace(replace({WRAPPED}, '&', '&amp;'), '"', '&quot;') AS srcdoc,
+replace(replace(CASE WHEN len(blocks) > 0 THEN array_to_string(blocks, chr(10) || chr(10)) ELSE '(none extracted)' END, '&', '&amp;'), '<', '&lt;') AS keyframes
+FROM classified ORDER BY ordinal LIMIT 40""")
 def k6(spark, sf):
     return report.cards(classified(spark, sf))
 
 
-@query("k7_f9_comparison_cards")
+def pane_sql(code: str) -> str:
+    document = f"(contains(lower(substr({code}, 1, 256)), '<html') OR starts_with(lower(substr({code}, 1, 64)), '<!doctype'))"
+    head = f"CASE WHEN {document} THEN regexp_extract({code}, '(?is)<head[^>]*>(.*?)</head>', 1) ELSE '' END"
+    body = f"CASE WHEN {document} AND regexp_matches({code}, '(?is)<body[^>]*>(.*?)</body>') THEN regexp_extract({code}, '(?is)<body[^>]*>(.*?)</body>', 1) ELSE {code} END"
+    whole = f"({X.quoted(html.PANE_HEAD)} || {head} || {X.quoted(html.PANE_STYLE)} || {body} || '</body></html>')"
+    return f"'<iframe srcdoc=\"' || {escaped_sql(whole)} || '\" sandbox=\"allow-scripts\" scrolling=\"no\"></iframe>'"
+
+
+def badge_sql(ok: str, label: str) -> str:
+    return f"'<span class=\"badge ' || CASE WHEN {ok} IS NULL THEN 'unknown\">?' WHEN {ok} THEN 'pass\">✓' ELSE 'fail\">✗' END || ' {label}</span>'"
+
+
+def half_sql(side: str, title: str) -> str:
+    code = f"{side}.shown"
+    return f"'<section><h3>{title}</h3>' || {badge_sql(side + '.render_ext', 'Render')} || ' ' || {badge_sql(side + '.match_ext', 'Match')} || CASE WHEN trim({code}) <> '' THEN {pane_sql(code)} ELSE '<p>No output</p>' END || '<details><summary>Source</summary><pre>' || {escaped_sql(code)} || '</pre></details></section>'"
+
+
+SHOWN = "SELECT *, coalesce(nullif(trim(CASE WHEN regexp_matches(output, '(?s)```[\\w-]*\\s*\\n?(.*?)```') THEN regexp_extract(output, '(?s)```[\\w-]*\\s*\\n?(.*?)```', 1) ELSE output END, chr(10) || ' '), ''), nullif(output, ''), '') AS shown, coalesce(render_ext AND match_ext, false) AS ok FROM"
+
+
+@query("k7_f9_comparison_cards", f"""WITH {RUNS}, b AS ({SHOWN} base), t AS ({SHOWN} tuned),
+j AS (SELECT b.description, CASE WHEN t.ok AND NOT b.ok THEN 'ftw' WHEN t.ok THEN 'bop' WHEN b.ok THEN 'baw' ELSE 'bof' END AS outcome, {half_sql("b", "Base")} || {half_sql("t", "Fine-tuned")} AS halves FROM b JOIN t ON b.description = t.description)
+SELECT description, outcome, '<figure data-outcome="' || outcome || '"><figcaption>' || {escaped_sql("description")} || '</figcaption>' || halves || '</figure>' AS card FROM j""")
 def k7(spark, sf):
     return report.comparison_cards(evaluate.ab_join(X.run(spark, sf, 2), X.run(spark, sf, 5)))
 
@@ -163,14 +224,26 @@ def p8(spark, sf):
     return gates.render_verdicts(X.frames(spark, sf)).where(F.col("visible_share") >= gates.VISIBLE).select("snippet_id")
 
 
+@query("p9_gate_or_not", f"WITH {FRAMES}, m AS (SELECT snippet_id, len(list_filter(pixels, lambda p: p < 245)) / len(pixels) AS dark, pixels, lag(pixels) OVER (PARTITION BY snippet_id ORDER BY frame_idx) AS was FROM frames), g AS (SELECT snippet_id, avg(CASE WHEN dark > 0.01 THEN 1e0 ELSE 0e0 END) AS v, coalesce(max(CASE WHEN was IS NOT NULL THEN len(list_filter(list_transform(list_zip(was, pixels), lambda x: abs(x[1] - x[2])), lambda d: d > 20)) / len(pixels) END), 0) AS motion FROM m GROUP BY snippet_id) SELECT 'checked' AS mode, snippet_id FROM g WHERE v >= 0.6 AND motion >= 0.005 UNION ALL SELECT 'all', snippet_id FROM g")
+def p9(spark, sf):
+    frames = X.frames(spark, sf)
+    rows, verdicts = frames.select("snippet_id").distinct(), gates.render_verdicts(frames)
+    of = lambda mode, check: gates.rendered(rows, verdicts, check).select(F.lit(mode).alias("mode"), "snippet_id")
+    return of("checked", True).union(of("all", False))
+
+
 @query("p10_format_valid", f"WITH {RUNS} SELECT ordinal, regexp_matches(output, '(?i)@keyframes\\b') AND NOT contains(output, '```') AS valid FROM base")
 def p10(spark, sf):
     return X.run(spark, sf, 2).select("ordinal", evaluate.format_valid(F.col("output")).alias("valid"))
 
 
-@query("p11_ui_markers", "SELECT doc_id, regexp_matches(code, '(?i)<button|<input|<form|<textarea|<select\\b|<nav\\b|<a\\s') AS ui FROM (SELECT doc_id, " + X.code_sql() + " AS code FROM documents)")
+DRESSED = "CASE WHEN {key} % 4 = 1 THEN {code} || '<div class=\"big btn\">' || '</div>' WHEN {key} % 4 = 2 THEN {code} || '<i class=''tiny card''></i>' ELSE {code} END"
+
+
+@query("p11_ui_markers", f"SELECT ordinal AS doc_id, regexp_matches({DRESSED.format(key='ordinal', code='code')}, {X.quoted(css.UI_MARKERS)}) AS ui FROM (WITH {CORPUS} SELECT * FROM corpus)")
 def p11(spark, sf):
-    return X.corpus(spark, sf).select(F.col("ordinal").alias("doc_id"), css.is_interface(F.col("code")).alias("ui"))
+    dressed = X.corpus(spark, sf).withColumn("dressed", F.when(F.col("ordinal") % 4 == 1, F.concat("code", F.lit('<div class="big btn"></div>'))).when(F.col("ordinal") % 4 == 2, F.concat("code", F.lit("<i class='tiny card'></i>"))).otherwise(F.col("code")))
+    return dressed.select(F.col("ordinal").alias("doc_id"), css.is_interface(F.col("dressed")).alias("ui"))
 
 
 @query("p12_multi_keyframe", f"WITH {CLASSIFIED} SELECT ordinal FROM classified WHERE list_contains(buckets, 'multi_keyframe')")
@@ -200,10 +273,10 @@ def a12(spark, sf):
     return report.loss_range(report.log_series(X.log(spark, sf)))
 
 
-@query("p16_description_fallback", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang || ' / ' || source WHEN doc_id % 3 = 1 THEN '' ELSE substr(text, 1, 280) END AS description FROM documents WHERE length(text) > 0")
+@query("p16_description_fallback", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang || ' / ' || source WHEN doc_id % 3 = 1 THEN '' ELSE text END AS description FROM documents WHERE length(text) > 0")
 def p16(spark, sf):
     tags = F.when(F.col("doc_id") % 3 == 0, F.array("lang", "source")).otherwise(F.array().cast("array<string>"))
-    given = F.when(F.col("doc_id") % 3 == 2, F.substring("text", 1, 280)).when(F.col("doc_id") % 3 == 0, "")
+    given = F.when(F.col("doc_id") % 3 == 2, F.col("text")).when(F.col("doc_id") % 3 == 0, "")
     return X.read(spark, sf, "documents").where(F.length("text") > 0).select("doc_id", html.described(given, tags).alias("description"))
 
 
@@ -215,7 +288,7 @@ def p17(spark, sf):
 # --- joins -----------------------------------------------------------------------------------------------------------
 
 
-@query("j1_o4_w7_resume", "WITH pool AS (SELECT doc_id AS ordinal, substr(text, 1, 280) AS description FROM documents), first AS (SELECT * FROM pool ORDER BY ordinal LIMIT 500) SELECT ordinal, description FROM first WHERE description NOT IN (SELECT description FROM pool WHERE ordinal % 3 = 0)")
+@query("j1_o4_w7_resume", "WITH pool AS (SELECT doc_id AS ordinal, text AS description FROM documents), first AS (SELECT * FROM pool ORDER BY ordinal LIMIT 500) SELECT ordinal, description FROM first WHERE description NOT IN (SELECT description FROM pool WHERE ordinal % 3 = 0)")
 def j1(spark, sf):
     pool = X.corpus(spark, sf).select("ordinal", "description")
     return cascade.resume(pool, pool.where("ordinal % 3 = 0"), 500).select("ordinal", "description")
@@ -244,7 +317,7 @@ BUCKET_REPORT = f"WITH {CLASSIFIED}, {COUNTS} SELECT d.bucket, d.dim_ordinal, co
 
 @query("j4_a2_k8_bucket_report", BUCKET_REPORT)
 def j4(spark, sf):
-    return report.bucket_report(classified(spark, sf).where(css.has_keyframes(F.col("code"))).unionByName(classified(spark, sf).where(~css.has_keyframes(F.col("code")))))
+    return report.bucket_report(classified(spark, sf))
 
 
 @query("a2_bucket_summary", f"WITH {CLASSIFIED} SELECT count(*) AS total, round(avg(len(buckets)), 6) AS avg_buckets FROM classified")
@@ -366,11 +439,6 @@ def x3(spark, sf):
     return split.stratified_split(split.labelled(chats(spark, sf)), "ordinal").select("ordinal", "is_val")
 
 
-@query("a11_tier_stats", "SELECT lang AS tier, count(*) AS attempted, count(*) FILTER (WHERE doc_id % 3 <> 0) AS kept, count(*) FILTER (WHERE doc_id % 3 = 0) AS failed FROM documents GROUP BY lang")
-def a11(spark, sf):
-    return X.read(spark, sf, "documents").groupBy(F.col("lang").alias("tier")).agg(F.count("*").alias("attempted"), F.count_if(F.col("doc_id") % 3 != 0).alias("kept"), F.count_if(F.col("doc_id") % 3 == 0).alias("failed"))
-
-
 @query("a14_outcome_counts", f"""WITH {RUNS}, j AS (SELECT coalesce(b.render_ext AND b.match_ext, false) AS b_ok, coalesce(t.render_ext AND t.match_ext, false) AS t_ok FROM base b JOIN tuned t ON b.description = t.description),
 o AS (SELECT CASE WHEN t_ok AND NOT b_ok THEN 'ftw' WHEN t_ok THEN 'bop' WHEN b_ok THEN 'baw' ELSE 'bof' END AS outcome FROM j)
 SELECT d.outcome, d.dim_ordinal, count(o.outcome) AS n FROM {X.dim_sql(schemas.OUTCOMES, 'outcome').replace('AS dim', 'AS d')} LEFT JOIN o ON o.outcome = d.outcome GROUP BY ALL""")
@@ -400,9 +468,9 @@ def a20(spark, sf):
 # --- order -----------------------------------------------------------------------------------------------------------
 
 
-@query("w1_x1_exact_dedupe", "SELECT min(doc_id) AS doc_id, substr(text, 1, 280) AS prompt, lang FROM documents GROUP BY 2, 3")
+@query("w1_x1_exact_dedupe", "SELECT min(doc_id) AS doc_id, text AS prompt, lang FROM documents GROUP BY 2, 3")
 def w1(spark, sf):
-    rows = X.read(spark, sf, "documents").select("doc_id", F.substring("text", 1, 280).alias("prompt"), "lang")
+    rows = X.read(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"), "lang")
     return dedupe.first_wins(rows, ["prompt", "lang"], "doc_id")
 
 
@@ -411,7 +479,7 @@ def w3(spark, sf):
     return order.batches(X.read(spark, sf, "documents").select("doc_id"), 25, "doc_id")
 
 
-@query("w5_few_shot", f"WITH {CLASSIFIED} SELECT ordinal, len(buckets) AS n_buckets FROM classified WHERE list_contains(buckets, 'multi_keyframe') AND NOT contains(code, '<button') ORDER BY len(buckets) DESC, ordinal LIMIT 2")
+@query("w5_few_shot", f"WITH {CLASSIFIED} SELECT ordinal, len(buckets) AS n_buckets FROM classified WHERE list_contains(buckets, 'multi_keyframe') AND NOT regexp_matches(code, {X.quoted(css.UI_MARKERS)}) ORDER BY len(buckets) DESC, ordinal LIMIT 2")
 def w5(spark, sf):
     return report.few_shot(classified(spark, sf)).select("ordinal", F.size("buckets").alias("n_buckets"))
 
@@ -426,15 +494,18 @@ def w8(spark, sf):
     return order.tail(X.read(spark, sf, "documents").select("doc_id", "lang"), 60, "doc_id")
 
 
-@query("w9_stratified_sample")
+@query("w9_stratified_sample", f"""WITH {RUNS}, j AS (SELECT b.description, coalesce(b.render_ext AND b.match_ext, false) AS b_ok, coalesce(t.render_ext AND t.match_ext, false) AS t_ok FROM base b JOIN tuned t ON b.description = t.description),
+o AS (SELECT description, CASE WHEN t_ok AND NOT b_ok THEN 'ftw' WHEN t_ok THEN 'bop' WHEN b_ok THEN 'baw' ELSE 'bof' END AS outcome FROM j),
+r AS (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY md5('42:' || description), description) AS k FROM o)
+SELECT r.description, r.outcome, CAST(s.rank AS INTEGER) AS stratum_rank FROM r JOIN (VALUES ('ftw', 10, 0), ('bop', 5, 1), ('baw', 0, 2), ('bof', 5, 3)) AS s(outcome, n, rank) ON r.outcome = s.outcome AND r.k <= s.n""")
 def w9(spark, sf):
     joined = evaluate.ab_join(X.run(spark, sf, 2), X.run(spark, sf, 5)).select("description", "outcome")
     return order.sample_per_stratum(joined, "outcome", {"ftw": 10, "bop": 5, "baw": 0, "bof": 5}, "description")
 
 
-@query("w10_motif_sample")
+@query("w10_motif_sample", "SELECT DISTINCT text AS description FROM documents ORDER BY md5('7:' || text), text LIMIT 8")
 def w10(spark, sf):
-    return order.sample(X.corpus(spark, sf).select("description"), 8, "description", 7)
+    return order.sample(X.corpus(spark, sf).select("description").distinct(), 8, "description", 7)
 
 
 @query("w11_emphasis", f"SELECT doc_id, d.bucket AS emphasis FROM documents JOIN {X.dim_sql(schemas.FOCUS_BUCKETS).replace('AS dim', 'AS d')} ON d.dim_ordinal = doc_id % 9")
@@ -466,9 +537,6 @@ def f2(spark, sf):
     return classified(spark, sf).select("ordinal", F.array_join("buckets", "|").alias("buckets"))
 
 
-WRAPPED = f"CASE WHEN regexp_matches(code, '(?i)<!doctype|<html[\\s>]') THEN code ELSE {X.quoted(html.WRAP_HEAD)} || code || '</body></html>' END"
-
-
 @query("f3_f4_source_document", f"WITH {CORPUS} SELECT ordinal, replace(replace({WRAPPED}, '&', '&amp;'), '\"', '&quot;') AS srcdoc FROM corpus")
 def f3(spark, sf):
     return X.corpus(spark, sf).select("ordinal", html.source_document(F.col("code")).alias("srcdoc"))
@@ -490,7 +558,7 @@ def f10(spark, sf):
     return X.run(spark, sf, 2).select("ordinal", html.badge(F.col("render_ext"), "Render").alias("badge"))
 
 
-@query("f12_f13_normalise", "SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 280)), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS norm FROM documents")
+@query("f12_f13_normalise", "SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS norm FROM documents")
 def f13(spark, sf):
     return X.corpus(spark, sf).select(F.col("ordinal").alias("doc_id"), text.normalise(F.col("description")).alias("norm"))
 
@@ -500,7 +568,7 @@ def f15(spark, sf):
     return X.read(spark, sf, "documents").select("doc_id", F.length("text").alias("chars"))
 
 
-@query("f19_requests", "WITH b AS (SELECT substr(text, 1, 280) AS description, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch_id, (row_number() OVER (ORDER BY doc_id) - 1) % 8 + 1 AS idx FROM documents) SELECT batch_id, 'Generate one animation per brief below.' || chr(10) || chr(10) || string_agg(CAST(idx AS VARCHAR) || '. ' || description, chr(10) ORDER BY idx) AS prompt FROM b GROUP BY batch_id")
+@query("f19_requests", "WITH b AS (SELECT text AS description, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch_id, (row_number() OVER (ORDER BY doc_id) - 1) % 8 + 1 AS idx FROM documents) SELECT batch_id, 'Generate one animation per brief below.' || chr(10) || chr(10) || string_agg(CAST(idx AS VARCHAR) || '. ' || description, chr(10) ORDER BY idx) AS prompt FROM b GROUP BY batch_id")
 def f19(spark, sf):
     return cascade.requests(order.batches(X.corpus(spark, sf).select("ordinal", "description"), 8))
 
@@ -524,7 +592,7 @@ def f25(spark, sf):
 # --- iterative operators ---------------------------------------------------------------------------------------------
 
 
-@query("x2_exact_normalised", "SELECT min(doc_id) AS ordinal, norm FROM (SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 280)), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS norm FROM documents) WHERE norm <> '' GROUP BY norm")
+@query("x2_exact_normalised", "SELECT min(doc_id) AS ordinal, norm FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS norm FROM documents) WHERE norm <> '' GROUP BY norm")
 def x2_exact(spark, sf):
     rows = X.corpus(spark, sf).select("ordinal", text.normalise(F.col("description")).alias("norm")).where("norm != ''")
     return dedupe.first_wins(rows, ["norm"])
@@ -532,17 +600,19 @@ def x2_exact(spark, sf):
 
 @query("x2_j9_f14_near_dedupe")
 def x2(spark, sf):
-    briefs = X.corpus(spark, sf).select("ordinal", "description")
-    return dedupe.near_dedupe(briefs, cut=cut)
+    return dedupe.near_dedupe(X.briefs(spark, sf), cut=cut)
 
 
-@query("x4_x5_cascade")
-def x4(spark, sf):
-    """Two tiers over the corpus's own code: the first answers two of three briefs, the gate wants keyframes."""
-    source = X.corpus(spark, sf).select("ordinal", "description", "code")
+GATED = f"""{CORPUS}, pool AS (SELECT min(ordinal) AS ordinal, description FROM corpus WHERE description IS NOT NULL GROUP BY description),
+asked AS (SELECT p.ordinal, p.description, c.code, regexp_matches(c.code, '(?i)@keyframes\\b') AND NOT regexp_matches(c.code, {X.quoted(css.UI_MARKERS)}) AS good FROM pool p JOIN corpus c ON c.ordinal = p.ordinal)"""
+
+
+def cascaded(spark, sf):
+    """Two tiers over the corpus's own code: the first answers two of three briefs, the gate wants keyframes and no parts of an interface."""
+    source = cut(dedupe.first_wins(X.corpus(spark, sf).where("description is not null"), ["description"]).select("ordinal", "description", "code"))
 
     def generate(tier, batched):
-        rows = batched.join(source.select("description", "code").dropDuplicates(["description"]), "description")
+        rows = batched.drop("ordinal").join(source, "description")
         body = F.when((F.lit(tier) == "small") & (F.col("ordinal") % 3 == 0), "").otherwise(F.concat(F.lit('<animation index="'), F.col("idx").cast("string"), F.lit('">'), F.col("code"), F.lit("</animation>")))
         listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", body.alias("t")))), lambda x: x["t"]), "")
         zero = F.lit(0).cast("long")
@@ -552,10 +622,20 @@ def x4(spark, sf):
         return rows.select("row_id", css.has_keyframes(F.col("code")).alias("ok"))
 
     def validate(rows):
-        return gates.validate(rows, render, lambda r: r.select("row_id", (~css.is_interface(F.col("code"))).alias("ok")), cut=cut)
+        return gates.validate(rows, render, lambda r: r.select("row_id", (~css.is_interface(F.col("code"))).alias("ok")), cut=lambda df: df)  # cheap verdicts need no table
+
+    return cascade.run_cascade(source, ["small", "large"], 16, generate, validate, cut=cut)
 
-    kept, _, _ = cascade.run_cascade(source, ["small", "large"], 16, generate, validate, cut=cut)
-    return kept.select("tier", "description", "code")
+
+@query("x4_x5_cascade", f"WITH {GATED} SELECT CASE WHEN ordinal % 3 <> 0 THEN 'small' ELSE 'large' END AS tier, description, code FROM asked WHERE good")
+def x4(spark, sf):
+    return cascaded(spark, sf)[0].select("tier", "description", "code")
+
+
+@query("a11_tier_stats", f"""WITH {GATED}, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE good AND ordinal % 3 <> 0) AS first_kept, count(*) FILTER (WHERE good AND ordinal % 3 = 0) AS second_kept FROM asked)
+SELECT 'small' AS tier, n AS attempted, first_kept AS kept, n - first_kept AS failed FROM n UNION ALL SELECT 'large', n - first_kept, second_kept, n - first_kept - second_kept FROM n WHERE n > first_kept""")
+def a11(spark, sf):
+    return spark.createDataFrame([tuple(x[k] for k in schemas.TIER_STAT.names) for x in cascaded(spark, sf)[1]], schemas.TIER_STAT)
 
 
 @query("x7_k3_phases", f"WITH {RUNS} SELECT ordinal, coalesce(match_ext, CASE WHEN coalesce(render_ext, false) THEN length(output) % 2 = 0 END) AS match_ext FROM base")
@@ -563,3 +643,151 @@ def x7(spark, sf):
     base = X.run(spark, sf, 2)
     judge = lambda rows: rows.select("description", (F.length("output") % 2 == 0).alias("match_ext"))
     return evaluate.run_phase(base, "match_ext", judge, "render_ext", cut=cut).select("ordinal", "match_ext")
+
+
+# --- requests to models, stores, logs --------------------------------------------------------------------------------
+
+W = prompts.WORDING
+
+
+def sentence_sql(sentence: str, value: str) -> str:
+    head, _, tail = sentence.partition("{}")
+    return f"{X.quoted(head)} || {value} || {X.quoted(tail)}"
+
+
+TURNS = "turns AS (SELECT event_id AS turn, event_id % 25 + 1 AS n FROM events)"
+
+
+@query("f19_idea_requests", f"""WITH {CLASSIFIED}, {COUNTS}, {TURNS},
+full_ AS (SELECT string_agg(d.bucket || '=' || CAST(coalesce(c.n, 0) AS VARCHAR), ', ' ORDER BY d.dim_ordinal) AS coverage FROM {X.dim_sql(schemas.BUCKETS).replace('AS dim', 'AS d')} LEFT JOIN counts c ON c.bucket = d.bucket),
+few AS (SELECT string_agg(d.bucket, ', ' ORDER BY coalesce(c.n, 0), d.dim_ordinal) AS wanted FROM {X.dim_sql(schemas.FOCUS_BUCKETS).replace('AS dim', 'AS d')} LEFT JOIN counts c ON c.bucket = d.bucket),
+drawn AS (SELECT turn, array_to_string(list_transform(list_sort(list_transform(['rings', 'gears', 'a flame', 'a comet'], lambda x: md5('7:' || CAST(turn AS VARCHAR) || ':' || x) || x))[1:2], lambda y: substr(y, 33)), ', ') AS motifs FROM turns)
+SELECT t.turn, concat_ws(chr(10), {sentence_sql(W.count, "CAST(t.n AS VARCHAR)")}, {sentence_sql(W.coverage, "coverage")}, {sentence_sql(W.wanted, "wanted")},
+CASE WHEN t.turn % 2 = 0 THEN {sentence_sql(W.emphasis, "['" + "', '".join(schemas.FOCUS_BUCKETS) + f"'][t.turn % {len(schemas.FOCUS_BUCKETS)} + 1]")} END,
+CASE WHEN t.turn % 3 <> 0 THEN {sentence_sql(W.motifs, "d.motifs")} END,
+CASE WHEN t.turn % 5 = 0 THEN {sentence_sql(W.avoid, "'- brief ' || CAST(t.turn AS VARCHAR) || chr(10) || '- another'")} END,
+{X.quoted(W.kinds.format(', '.join(schemas.BUCKETS)))}) AS prompt FROM turns t JOIN drawn d ON d.turn = t.turn, full_, few""")
+def f19_ideas(spark, sf):
+    turn = F.col("turn")
+    emphasis, motifs = prompts.turn_plan(turn, F.array(*map(F.lit, ("rings", "gears", "a flame", "a comet"))), 2)
+    none = F.array().cast("array<string>")
+    rows = X.read(spark, sf, "events").select(F.col("event_id").alias("turn")).select(
+        "turn",
+        (turn % 25 + 1).alias("n"),
+        F.when(turn % 2 == 0, emphasis).alias("emphasis"),
+        F.when(turn % 3 != 0, motifs).otherwise(none).alias("motifs"),
+        F.when(turn % 5 == 0, F.array(F.concat(F.lit("brief "), turn.cast("string")), F.lit("another"))).alias("avoid"),
+    )
+    return prompts.idea_requests(rows, report.bucket_counts(classified(spark, sf))).select("turn", "prompt")
+
+
+@query("f19_system_text", f"""WITH {CLASSIFIED}, best AS (SELECT * FROM classified WHERE list_contains(buckets, 'multi_keyframe') AND NOT regexp_matches(code, {X.quoted(css.UI_MARKERS)}) ORDER BY len(buckets) DESC, ordinal LIMIT 2)
+SELECT 'Be brief.' || CASE WHEN count(*) > 0 THEN chr(10) || chr(10) || {sentence_sql(W.examples, "string_agg('<animation index=\"1\">' || chr(10) || code || chr(10) || '</animation>', chr(10) || chr(10) ORDER BY len(buckets) DESC, ordinal)")} ELSE '' END AS system FROM best""")
+def f19_system(spark, sf):
+    return prompts.system_text("Be brief.", classified(spark, sf))
+
+
+JUDGED = f"{CORPUS}, b AS (SELECT ordinal, code, description, (row_number() OVER (ORDER BY ordinal) - 1) % 10 + 1 AS idx, (row_number() OVER (ORDER BY ordinal) - 1) // 10 AS batch_id FROM corpus)"
+
+
+def _opinion(request: str) -> str:
+    """A judge that likes code with a rotation, says nothing on every fourth pair and gives broken answers to some requests."""
+    import json
+    import re
+
+    pairs = re.findall(r"--- index (\d+) ---\nBRIEF: .*?\nCODE:\n(.*?)(?=\n--- index|\Z)", request, re.S)
+    if "@KEYFRAMES tint" in pairs[0][1]:
+        return "{"
+    return json.dumps({"results": [{"index": int(i), "matches": "rotate" in code} for i, code in pairs if int(i) % 4]})
+
+
+@query("u2_judge_in_chunks", f"WITH {JUDGED}, firsts AS (SELECT batch_id, contains(code, '@KEYFRAMES tint') AS broken FROM b WHERE idx = 1) SELECT b.ordinal AS row_id, firsts.broken OR b.idx % 4 = 0 OR contains(b.code, 'rotate') AS ok FROM b JOIN firsts ON firsts.batch_id = b.batch_id")
+def u2(spark, sf):
+    rows = X.corpus(spark, sf).select(F.col("ordinal").alias("row_id"), F.coalesce("description", F.lit("")).alias("description"), "code")
+    return gates.judge(_opinion, cut=cut)(rows)
+
+
+@query("k3_phase_store", f"WITH {RUNS} SELECT ordinal, length(output) AS nll, CASE WHEN coalesce(render_ext, false) THEN length(output) % 2 = 0 END AS match_ext, 2 AS versions, 3 AS made FROM base")
+def k3(spark, sf):
+    """Seeded, filled by two phases of which each is asked twice, the second time in a new store on the same folder."""
+    schema = schemas.struct(description=schemas.S, reference=schemas.S, ordinal=schemas.L, output=schemas.S, render_ext=schemas.B, nll=schemas.D, match_ext=schemas.B)
+    path, made = fresh(spark), []
+    base = X.run(spark, sf, 2).select("description", F.lit("r").alias("reference"), "ordinal", "output", "render_ext")
+    open_ = lambda: store.PhaseStore(store.VersionedTable(spark, path, schema))
+
+    def produce(field, value):
+        def run(rows):
+            made.append(field)
+            return rows.select("description", value.alias(field))
+
+        return run
+
+    first = open_()
+    first.seed(base.select("description", "reference", "ordinal"))
+    first.table.save(evaluate.merge_cache(first.table.load(), base, ("output", "render_ext")).withColumns({"nll": F.lit(None).cast("double"), "match_ext": F.lit(None).cast("boolean")}))
+    made.append("seed")
+    for _ in range(2):
+        again = open_()
+        again.run("nll", produce("nll", F.length("output").cast("double")))
+        again.run("match_ext", produce("match_ext", F.length("output") % 2 == 0), "render_ext")
+    table = open_().table
+    return table.load().select("ordinal", "nll", "match_ext", F.lit(len(table.versions())).alias("versions"), F.lit(len(made)).alias("made"))
+
+
+@query("k5_s10_metrics_object", f"WITH {RUNS}, m AS ({METRICS} FROM base) SELECT n, round(exp(mean_loss), 6) AS perplexity, round(ext_n / n, 6) AS ext_rate, round(1 - raw_both / n, 6) AS raw_knockout, '  perplexity ' || printf('%.3f', exp(mean_loss)) AS line FROM m")
+def k5(spark, sf):
+    path = fresh(spark)
+    store.write_object(evaluate.metrics(X.run(spark, sf, 2)), path)
+    m = jsonl.read_object(spark, path, schemas.struct(n=schemas.L, perplexity=schemas.D, mean_loss=schemas.D, format_valid_rate=schemas.D, raw=schemas.VARIANT, extracted=schemas.VARIANT))
+    r = lambda c: F.round(c, 6)
+    rows = m.select("n", r("perplexity").alias("perplexity"), r("extracted.render_rate").alias("ext_rate"), r("raw.knockout_rate").alias("raw_knockout"))
+    return rows.join(F.broadcast(store.printed(m).where("line_no = 1").select("line")))  # a row each
+
+
+@query("k4_append_log", f"WITH {LOG} SELECT step, loss, eval_loss, learning_rate FROM log")
+def k4(spark, sf):
+    """Three writers of differing fields, one after the other; a step's fields meet again when the log is read."""
+    path, log = fresh(spark), X.log(spark, sf)
+    for c in ("loss", "eval_loss", "learning_rate"):
+        jsonl.append_log(log.select("step", c), path)
+    back = spark.read.schema(schemas.TRAIN_LOG).json(path)
+    return back.groupBy("step").agg(*(F.max(c).alias(c) for c in ("loss", "eval_loss", "learning_rate")))
+
+
+@query("s11_missing_file", "SELECT 0 AS n, 4 AS columns")
+def s11(spark, sf):
+    rows = jsonl.read_jsonl(spark, fresh(spark), schemas.BRIEF, "prior")
+    return rows.agg(F.count("*").alias("n")).withColumn("columns", F.lit(len(rows.columns)))
+
+
+@query("x6_top_up", "WITH t AS (SELECT text, min(item_id) AS first_id FROM benchmark GROUP BY text), r AS (SELECT text, row_number() OVER (ORDER BY first_id) AS k FROM t) SELECT text FROM r WHERE k <= 30")
+def x6(spark, sf):
+    """Briefs until there are 30, from answers of which the first is cut short and every third does not parse; exact repeats don't count."""
+    said = iter(X.read(spark, sf, "benchmark").orderBy("item_id").select("text").toLocalIterator())
+
+    def ask(n, turn):
+        return None if turn == 0 else [] if turn % 3 == 2 else [r.text for _, r in zip(range(n), said, strict=False)]
+
+    def accept(answer, have):
+        return [x for i, x in enumerate(answer) if x not in have and x not in answer[:i]]
+
+    found = cascade.top_up({}, 30, ask, accept)["kept"]
+    return spark.createDataFrame([(x,) for x in found], "text string")
+
+
+def _unsteady(tier: str, briefs: list[str]):
+    """A model whose first call for a batch is refused."""
+    key = (tier, *briefs)
+    _REFUSED[key] = _REFUSED.get(key, 0) + 1
+    if _REFUSED[key] == 1:
+        raise ConnectionError("slow down")
+    return f"{tier} {len(briefs)} {sum(map(len, briefs))}", {"in": len(briefs), "out": _REFUSED[key]}
+
+
+_REFUSED: dict[tuple, int] = {}
+
+
+@query("x8_u3_retries", "WITH b AS (SELECT text, (row_number() OVER (ORDER BY item_id) - 1) // 8 AS batch_id FROM benchmark) SELECT batch_id, 'small ' || CAST(count(*) AS VARCHAR) || ' ' || CAST(sum(length(text)) AS VARCHAR) AS text, count(*) AS asked FROM b GROUP BY batch_id")
+def x8(spark, sf):
+    rows = cut(order.batches(X.read(spark, sf, "benchmark").select(F.col("item_id").alias("ordinal"), F.col("text").alias("description")), 8))
+    return cut(cascade.generator(_unsteady, first_wait=0.01, retry_on=(ConnectionError,))("small", rows)).select("batch_id", "text", F.col("in").alias("asked"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ..operators.order import numbered
+
 
 def parse_lines(lines: DataFrame, schema: T.StructType, source: str | None = None, line_col: str = "value", strict: bool = True) -> DataFrame:
     """The records of a column of lines; blank lines are skipped. Other columns are kept.
@@ -22,7 +24,8 @@ def parse_lines(lines: DataFrame, schema: T.StructType, source: str | None = Non
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, source: str | None = None, ordered: bool = True, strict: bool = True) -> DataFrame:
     """The records of a file or folder, none where it is missing. ``ordinal``: file, then line, from 0 without gaps.
 
-    The reader may split large files; lines are numbered over all splits by their order there.
+    The reader may split large files; a line's place is its file, its split's place in it and its number there, and places
+    are numbered by ranges, as ``operators.order`` does.
     """
     empty = T.StructType([*schema, *([T.StructField("source", T.StringType())] if source is not None and "source" not in schema.names else []), *([T.StructField("ordinal", T.LongType())] if ordered else [])])
     try:
@@ -32,8 +35,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, source: str
             raise
         return spark.createDataFrame([], empty)
     if ordered:
-        numbered = lines.where(F.trim("value") != "").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-        lines = spark.createDataFrame(numbered, "value string, ordinal long")
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))
+        lines = numbered(lines.select("value", place.alias("__place")).where(F.trim("value") != ""), "__place", "ordinal").drop("__place")
     return parse_lines(lines, schema, source, strict=strict).select(*empty.names)
 
 

@@ -9,8 +9,8 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from cinderloom import schemas
-from cinderloom.operators import cascade, dedupe, evaluate, gates, order, report, split
-from cinderloom.sources import jsonl
+from cinderloom.operators import cascade, dedupe, evaluate, gates, order, prompts, report, split
+from cinderloom.sources import jsonl, store
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import tests
 
@@ -231,7 +231,7 @@ def test_outcomes_and_sample(spark):
     by = {k: sum(r.outcome == k for r in picked) for k in schemas.OUTCOMES}
     assert by == {"ftw": 3, "bop": counts["bop"], "baw": 0, "bof": 2}
     page = report.comparison_page(joined, {"ftw": 3, "bof": 2})
-    assert page.count('class="card ') == 5 and "showing <b>5</b>" in page
+    assert page.count("<figure data-outcome=") == 5 and "39 pairs, 5 shown" in page
 
 
 # --- sources, order, reports -----------------------------------------------------------------------------------------
@@ -263,3 +263,128 @@ def test_batches_and_reports(spark, cut):
     assert report.bucket_summary(rows.limit(0)).first().avg_buckets is None
     total = {r.split: r.share for r in report.profile(spark.createDataFrame([], "split string, text string")).collect()}
     assert total in ({}, {"TOTAL": None})
+
+
+# --- requests, judges, stores ----------------------------------------------------------------------------------------
+
+
+def test_quotas_are_those_of_single_steps():
+    rnd = random.Random(17)
+    for _ in range(400):
+        n, val, train = rnd.randrange(1, 60), rnd.choice([rnd.randrange(-8, 30), rnd.random() * 30]), rnd.choice([rnd.randrange(-8, 30), rnd.random() * 30])
+        val_all, train_all = rnd.randrange(-5, 40), rnd.randrange(-5, 40)
+        wants, all_, k = {"v": val, "t": train}, {"v": val_all, "t": train_all}, 0
+        for _ in range(n):
+            side = "v" if (wants["v"], all_["v"]) > (wants["t"], all_["t"]) else "t"
+            k += side == "v"
+            wants[side] -= 1
+            all_[side] -= 1
+        assert split.to_val(n, val, val_all, train, train_all) == k, (n, val, train, val_all, train_all)
+    assert split.quotas([(("a",), 10**9), (("b",), 5 * 10**8)], 0.2) == {("a",): 2 * 10**8, ("b",): 10**8}
+
+
+def test_ranks_of_a_hot_group(spark):
+    df = spark.range(5000).selectExpr("id", "CASE WHEN id % 10 < 8 THEN 'hot' ELSE 'cold' END AS g").repartition(6)
+    rows = split.ranked(df, "g", order.drawn("id", 3), "rank").collect()
+    for g in ("hot", "cold"):
+        own = sorted((r["rank"], r.id) for r in rows if r.g == g)
+        assert [x for x, _ in own] == list(range(1, len(own) + 1))
+        import hashlib
+
+        assert [i for _, i in own] == sorted((i for _, i in own), key=lambda i: hashlib.md5(f"3:{i}".encode()).hexdigest())
+
+
+def test_versions_and_phases(spark, cut, tmp_path):
+    schema = schemas.struct(description=schemas.S, reference=schemas.S, ordinal=schemas.L, nll=schemas.D, ok=schemas.B)
+    table = store.VersionedTable(spark, str(tmp_path / "run"), schema)
+    assert table.load().count() == 0 and table.versions() == []
+    phases = store.PhaseStore(table)
+    phases.seed(spark.createDataFrame([("a", "r1", 0), ("b", "r2", 1)], "description string, reference string, ordinal long"))
+    asked = []
+    produce = lambda rows: (asked.append(sorted(r.description for r in rows.collect())), rows.select("description", F.lit(1.5).alias("nll")))[1]
+    phases.run("nll", produce)
+    phases.run("nll", produce)
+    assert asked == [["a", "b"]]
+    phases.seed(spark.createDataFrame([("b", "r2", 0), ("c", "r3", 1)], "description string, reference string, ordinal long"))  # other rows, the same store
+    store.PhaseStore(store.VersionedTable(spark, table.path, schema)).run("nll", produce)
+    assert asked[1:] == [["c"]]
+    assert {r.description: r.nll for r in table.load().collect()} == {"b": 1.5, "c": 1.5} and len(table.versions()) == 2
+    broken = tmp_path / "run" / f"version={table.versions()[-1] + 1}"
+    broken.mkdir()  # a writer that died
+    assert table.load().count() == 2 and table.save(table.load()).count() == 2
+
+
+def test_metrics_object(spark, tmp_path):
+    m = spark.createDataFrame([(3, None, 0.25)], "n long, perplexity double, format_valid_rate double").withColumns({v: F.struct(F.lit(0.5).alias("render_rate"), F.lit(None).cast("double").alias("match_of_rendered"), F.lit(1.0).alias("knockout_rate")) for v in ("raw", "extracted")})
+    store.write_object(m, str(tmp_path / "m"))
+    back = jsonl.read_object(spark, str(tmp_path / "m"), m.schema)
+    assert back.collect() == m.collect()
+    assert [r.line for r in store.printed(back, "base").orderBy("line_no").collect()] == ["=== base (n=3) ===", "  perplexity n/a", "  format-valid rate 25.0%", "  [raw] render-pass 50.0%  match-of-rendered n/a  knockout 100.0%", "  [extracted] render-pass 50.0%  match-of-rendered n/a  knockout 100.0%"]
+
+
+def test_judge_numbers_chunks_from_one(spark, cut, tmp_path):
+    import json
+
+    said = str(tmp_path)
+
+    def call(request):
+        import os
+        import re
+        import uuid
+
+        found = re.findall(r"--- index (\d+) ---\nBRIEF: (\d+)", request)
+        with open(os.path.join(said, uuid.uuid4().hex), "w") as f:
+            json.dump(found, f)
+        if found[0][1] == "10":
+            return "not json"
+        return json.dumps({"results": [{"index": int(i), "matches": int(n) % 3 == 0} for i, n in found if int(n) % 5]})
+
+    rows = spark.createDataFrame([(i, str(i), f"code {i}") for i in range(23)], "row_id long, description string, code string").repartition(4)
+    got = {r.row_id: r.ok for r in gates.judge(call, cut=cut)(rows).collect()}
+    assert got == {i: i // 10 == 1 or i % 5 == 0 or i % 3 == 0 for i in range(23)}
+    chunks = sorted((json.loads(p.read_text()) for p in tmp_path.iterdir()), key=lambda x: int(x[0][1]))
+    assert [[int(i) for i, _ in c] for c in chunks] == [list(range(1, 11)), list(range(1, 11)), [1, 2, 3]]
+    assert gates.judge(call, cut=cut)(rows.limit(0)).count() == 0
+
+
+def test_requests_say_only_what_there_is(spark):
+    counts = spark.createDataFrame([("rotate", 5), ("skew", 2), ("clip", 1)], "bucket string, n long")
+    rows = spark.createDataFrame([(3, None, [], None), (2, "skew", ["rings", "gears"], ["one", "two"])], "n int, emphasis string, motifs array<string>, avoid array<string>")
+    plain, full = (r.prompt.split("\n") for r in prompts.idea_requests(rows, counts).orderBy("n", ascending=False).collect())
+    assert len(plain) == 4 and plain[0] == "Write 3 different briefs for keyframe animations."
+    assert "rotate=5, translate=0" in plain[1] and plain[2].endswith("order: stroke, border_radius, color, shadow, size, background_position, staggered, clip, skew.")
+    assert full[3:8] == ["In this request the kind skew should lead.", "Take subjects from: rings, gears.", "Briefs that exist and must not come again:", "- one", "- two"]
+    none = spark.createDataFrame([], "ordinal long, code string, buckets array<string>")
+    assert prompts.system_text("Do.", none).first().system == "Do."
+
+
+def test_cascade_logs_and_retries(spark, cut, tmp_path):
+    said = []
+    calls = str(tmp_path)
+
+    def call(tier, briefs):
+        import os
+
+        if not os.path.exists(f"{calls}/{briefs[0]}"):
+            open(f"{calls}/{briefs[0]}", "w").close()
+            raise TimeoutError
+        return good(tier, briefs)
+
+    briefs = spark.createDataFrame([(i, f"brief {i}") for i in range(5)], "ordinal long, description string")
+    generate = cascade.generator(call, first_wait=0.01, retry_on=(TimeoutError,))
+    _, stats, _ = cascade.run_cascade(briefs, ["a", "b"], 2, generate, lambda rows: rows.withColumn("ok", F.lit(True)), cut=cut, log=said.append)
+    assert stats == [{"tier": "a", "attempted": 5, "kept": 5, "failed": 0}] and said == ["a: 5 briefs in 3 batches", "a: kept 5, failed 0"]
+    with pytest.raises(Exception, match="RuntimeError"):
+        cascade.generator(lambda t, b: 1 / 0 if False else (_ for _ in ()).throw(RuntimeError("no")), attempts=2, first_wait=0.01, retry_on=(RuntimeError,))("a", order.batches(briefs, 2)).collect()
+
+
+def test_ungated_rows(spark):
+    rows, verdicts = spark.createDataFrame([(1,), (2,)], "snippet_id long"), spark.createDataFrame([(1, True), (2, False)], "snippet_id long, passed boolean")
+    assert [r.snippet_id for r in gates.rendered(rows, verdicts).collect()] == [1] and gates.rendered(rows, verdicts, check=False).count() == 2
+
+
+def test_lines_keep_their_order_over_files(spark, tmp_path):
+    for name, lo in (("b.jsonl", 500), ("a.jsonl", 0)):
+        (tmp_path / name).write_text("".join(f'{{"description": "{i}"}}\n' for i in range(lo, lo + 500)))
+    got = jsonl.read_jsonl(spark, str(tmp_path), schemas.struct(description=schemas.S)).orderBy("ordinal").collect()
+    assert [(r.description, r.ordinal) for r in got] == [(str(i), i) for i in range(1000)]
