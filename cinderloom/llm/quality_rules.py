@@ -81,10 +81,10 @@ def removed_words(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", t
     return hits.select("_id", "_text", "_host", "_at", "_words").distinct().groupBy("_id", "_text", "_host").agg(F.sum("_words").alias("_removed"), F.collect_list("_at").alias("_gone"))
 
 
-def verdict(least: float = LEAST) -> tuple[Column, Column]:
-    """base_failed and kept, of the base counts and n_removed_words."""
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
-    return failed, ~failed & (F.col("n_words") - F.col("n_removed_words") >= least * F.col("n_words"))
+def verdict(n_words: Column, n_repeat_words: Column, n_removed_words: Column, least: float = LEAST) -> tuple[Column, Column]:
+    """base_failed and kept."""
+    failed = (n_words < LEAST_WORDS) | (100 * n_repeat_words > REPEATED * n_words)
+    return failed, ~failed & (n_words - n_removed_words >= least * n_words)
 
 
 def judged(docs: DataFrame, columns: list, limit: int, least: float, id_col: str, text_col: str, host_col: str) -> DataFrame:
@@ -100,7 +100,7 @@ def verdicts(docs: DataFrame, limit: int = LIMIT, least: float = LEAST, id_col:
     """A row per document: id, _text, _host, the base counts, n_removed_words, base_failed, kept."""
     docs = docs.select(id_col, text_col, host_col)
     rows = judged(docs, [F.col(id_col), base(F.coalesce(F.col(text_col), F.lit(""))).alias("_base")], limit, least, id_col, text_col, host_col)
-    failed, kept = verdict(least)
+    failed, kept = verdict(F.col("n_words"), F.col("n_repeat_words"), F.col("n_removed_words"), least)
     return rows.select(id_col, "_text", "_host", "_base.*", "n_removed_words").withColumns({"base_failed": failed, "kept": kept})
 
 
@@ -108,8 +108,9 @@ def keep(docs: DataFrame, limit: int = LIMIT, least: float = LEAST) -> DataFrame
     """The documents that no rule rejects, with all their columns, without their lines above the limit."""
     whole = F.struct(*docs.columns).alias("__whole")
     rows = judged(docs.select(whole, "doc_id", "text", "source"), ["__whole"], limit, least, "doc_id", "text", "source")
-    rows = rows.withColumn("__base", base(F.coalesce(F.col("__whole.text"), F.lit(""))))
-    rows = rows.select("__whole", "_gone", "n_removed_words", F.col("__base.n_words"), F.col("__base.n_repeat_words")).where(verdict(least)[1])
+    # one expression that needs the counts of the text and of its lines: it is worked out once, after the join
+    kept = let(base(F.coalesce(F.col("__whole.text"), F.lit(""))), lambda b: verdict(b["n_words"], b["n_repeat_words"], F.col("n_removed_words"), least)[1])
+    rows = rows.where(kept)
     lines = F.filter(F.split("__whole.text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
     rows = rows.withColumn("__text", F.when(F.col("_gone").isNull(), F.col("__whole.text")).otherwise(F.array_join(lines, "\n")))
     return rows.select(*(F.col("__text").alias("text") if c == "text" else F.col("__whole").getField(c).alias(c) for c in docs.columns))
