@@ -2,7 +2,7 @@
 
 All stages but the last return the columns of their input. ``run`` applies them to the documents of a
 folder; the driver writes each stage's result as Parquet and reads it again as the next one's input.
-SQL cannot express the template tree, the sketches and the packing, so there is no SQL for the whole.
+SQL cannot express the template tree, the sketches and the packing, so there is no SQL for the whole; it is tested against plain loops.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from cinderloom.llm import line_templates, near_duplicates, packing, personal_da
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects, without the lines that are too frequent on their hosts."""
     return quality_rules.keep(docs)
 
 
