@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -86,6 +89,14 @@ def sieve(rows: DataFrame, col: str, keys: DataFrame, key: str, bits: int = 1 <<
     return rows.join(F.broadcast(words), F.floor(slot(col) / 64) == F.col("__word")).where(there).drop("__word", "__bits")
 
 
+def give_back() -> None:
+    """Returns a worker's free memory at a task's end: workers serve many tasks, and executors hold several of them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library may have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable], schema: T.StructType, many: bool = False) -> DataFrame:
     """Maps rows with the function that ``make()`` gives in the worker, in slices of bounded size.
 
@@ -103,6 +114,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: T.StructType,
                     found = [x for xs in found for x in xs]
                 cols = list(zip(*found, strict=True)) if found else [()] * len(arrow)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+        row = found = cols = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -138,6 +151,8 @@ def map_cells(rows: DataFrame, cell: list[str], order: str, fn: Callable, schema
                 held.append(p.iloc[lo:hi])
         if held:
             yield batch(fn(pd.concat(held, ignore_index=True)))
+        held = None
+        give_back()
 
     return rows.repartition(*cell).sortWithinPartitions(*cell, order).mapInArrow(run, kind)
 
@@ -151,6 +166,10 @@ class Memo(dict):
         super().__init__()
         self.make, self.size, self.old = make, size, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SLICE_ROWS, Memo, documents
+from .common import SLICE_ROWS, Memo, documents, give_back
 
 WINDOW, PIECE, BLOCK, END_ID = 2048, 256, 128, 1
 #: Ids that a block leaves free in each of its windows, so that near-equal sums seldom exceed the capacity.
@@ -60,6 +60,11 @@ class ByteEncoder:
         self.rest = Memo(lambda w: pack(encode(" " + w)))
         self.feed = pack(encode("\n"))
 
+    def forget(self) -> None:
+        """Empties the memos: a worker that goes on with another operator's tasks should not hold them."""
+        self.first.forget()
+        self.rest.forget()
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -178,6 +183,9 @@ def pack(df: DataFrame, path: str, ranks_path: str | None = None, id_col: str =
             settle()
         if out:
             yield flush()
+        encoder.forget()
+        held = None
+        give_back()
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
