@@ -7,6 +7,13 @@ block are given to its windows by largest differencing: partial partitions into
 merged, the largest sums of one against the smallest of the other, always the two with the
 largest spread, until one is left. If a window exceeds the capacity the window count rises.
 
+Cutting rests into pieces makes sums near-equal, and a block leaves ``FREE`` ids a window free, so the count seldom rises; tests
+make it rise.
+
+Ids are those of the ``tokenizers`` library for the vocabulary at ``path``. With ``ranks_path`` single words go through ``tiktoken``, which
+reads the same vocabulary as merge ranks and splits by the same pattern, so its merges are the same; the tests compare ids
+over whole tables. Texts in which a word's ids could depend on what stands around it take the first library as a whole.
+
 Nulls count as empty texts, which still have the end id. Repeated rows are packed again each;
 an empty table gives an empty result; other columns of the input are ignored.
 """

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from cinderloom.llm.quality_classifier import classify, expectation_maximisation, train
+from cinderloom.llm.quality_classifier import classify, expectation_maximisation, figures, quality_votes, toxic_votes, train
 
 
 def test_estimates_the_labellers():
@@ -46,3 +46,48 @@ def test_edge_cases(spark):
     assert len(got) == 6 and all(x.kept is not None for x in got)
     assert classify(df.limit(0)).count() == 0
     assert len(classify(df, spark.createDataFrame([(2, 0), (2, 1), (None, 1)], "doc_id long, toxic int")).collect()) == 6
+
+
+def plain_posteriors(votes, known, silent):
+    """Expectation-maximisation by loops over dictionaries, a document at a time."""
+    labellers = range(len(votes[0]))
+    given = [None if k < 0 else 0.98 if k else 0.02 for k in known]
+    post = []
+    for v, g in zip(votes, given, strict=True):
+        said = [x for x in v if x >= 0]
+        post.append(g if g is not None else 0.02 + 0.96 * (sum(said) / len(said) if said else silent))
+    for _ in range(60):
+        prior = (sum(post) + 1) / (len(post) + 2)
+        table = {}
+        for k in labellers:
+            for c in (0, 1):
+                n = {-1: 0.01, 0: 1 + (c == 0), 1: 1 + (c == 1)}
+                for v, p in zip(votes, post, strict=True):
+                    n[v[k]] += p if c else 1 - p
+                total = sum(n.values())
+                table[k, c] = {x: y / total for x, y in n.items()}
+        new = []
+        for v, g in zip(votes, given, strict=True):
+            odds = np.log(prior / (1 - prior)) + sum(np.log(table[k, 1][v[k]] / table[k, 0][v[k]]) for k in labellers)
+            new.append(g if g is not None else 1 / (1 + np.exp(-max(-50, min(50, odds)))))
+        moved = max(abs(a - b) for a, b in zip(new, post, strict=True))
+        if moved < 1e-7:
+            break
+        post = new
+    return post
+
+
+def test_query_by_plain_loops_and_layouts(spark, sf):
+    """Posteriors of the whole table by loops; and equal results whatever the layout, with samples smaller and larger than the table."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    known = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = [(r.doc_id, r.text, r.text.split()) for r in docs.collect()]
+    quality = plain_posteriors([quality_votes(figures(t, w), len(w)) if w else [-1] * 9 for _, t, w in rows], [-1] * len(rows), 0.7)
+    toxic = plain_posteriors([toxic_votes(w) if w else [-1] * 4 for _, _, w in rows], [known.get(i, -1) for i, _, _ in rows], 0.05)
+    out = {r.doc_id: r for r in classify(docs, labels).collect()}
+    for (i, _, _), q, t in zip(rows, quality, toxic, strict=True):
+        assert abs(out[i].quality_posterior - q) < 1e-6 and abs(out[i].toxic_posterior - t) < 1e-6
+        assert out[i].kept == (max(out[i].quality_score, q) >= 0.5 and max(out[i].toxic_score, t) < 0.5)
+    for fit_rows in (60, 100_000):
+        one, two = ({tuple(r) for r in classify(docs.repartition(n, "text"), labels.repartition(n), fit_rows).collect()} for n in (1, 7))
+        assert one == two and len(one) == len(rows)

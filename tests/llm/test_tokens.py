@@ -123,3 +123,26 @@ def test_round_trip(spark, sf):
     back = {r.doc_id: r.text for r in decode(enc.select("doc_id", F.col("nbest")[0]["ids"].alias("ids")), path).collect()}
     assert back == {i: t or "" for i, t in enumerate(rows)}
     assert encode_nbest(frame(spark, rows).limit(0), path).count() == 0
+
+
+def test_clashing_columns_nulls_and_unbroken_texts(spark):
+    """Columns named like the results' own, nulls, repeated rows, and texts of 60,000 characters without a space."""
+    rnd = random.Random(5)
+    long = ["a" * 60_000, "".join(rnd.choice("abcdefghij0123456789") for _ in range(60_000)), "字" * 20_000]
+    rows = [(None, None), (1, ""), (2, "two words"), (2, "two words"), *((10 + i, x) for i, x in enumerate(long))]
+    own = {"start": "x", "length": "y", "ids": "z", "doc_tokens": 1, "sequence_id": 2, "offset": 3, "nbest": 4, "round_trip": 5, "n_bytes": 6, "n_tokens": 7, "over_limit": 8}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({k: F.lit(v) for k, v in own.items()})
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = ByteEncoder(path)
+    want = sorted((i or 0, len(encoder.ids(t)) // 4 + 1) for i, t in rows)
+    got = defaultdict(int)
+    for p in pack(df, path).collect():
+        got[p.doc_id or 0] += p.length
+    assert got == {i: n * sum(r[0] == i for r in rows) if i else n for i, n in want}
+    found = encode_nbest(df, public_tokenizers.path("piece_bpe_32k.model"), 2).collect()
+    assert len(found) == len(rows) and all(r.round_trip for r in found if r.doc_id != 12) and found[0].__fields__ == ["doc_id", "nbest", "round_trip"]
+    words = public_tokenizers.path("word_bpe_49k.json")
+    counter = WordCounter(words, 1 << 60)
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in count_tokens(df, words).collect()) == sorted((i or 0, counter.count(t)) for i, t in rows)
+    for op in (lambda x: pack(x, path), lambda x: encode_nbest(x, public_tokenizers.path("piece_bpe_32k.model"), 2), lambda x: count_tokens(x, words)):
+        assert op(df.limit(0)).count() == 0
