@@ -68,6 +68,20 @@ class Tables:
         self.written.append((out, path))
         return out
 
+    @contextlib.contextmanager
+    def until_later(self):
+        """What is put inside goes at the end, and so do the frames given besides; ``later(df, *spent)`` puts one that stays."""
+        began, stays, spent = len(self.written), [], []
+
+        def later(df: DataFrame, *done: DataFrame) -> DataFrame:
+            stays.append(self.put(df))
+            spent.extend(done)
+            return stays[-1]
+
+        yield later
+        made = [df for df, _ in self.written[began:] if not any(df is x for x in stays)]
+        self.drop(*made, *spent) if made or spent else None
+
     def drop(self, *tables: DataFrame) -> None:
         """Removes these, or all without arguments."""
         jvm = self.spark.sparkContext._jvm

@@ -15,21 +15,22 @@ from .common import Tables
 ROUNDS = 60
 
 
-def _spread(pairs: DataFrame) -> DataFrame:
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+def _spread(pairs: DataFrame, tables: Tables) -> DataFrame:
+    """The pairs with the least neighbour of u. As a table it has a shuffle of its own in the join, so that adaptive execution can split a hot u."""
+    least = tables.put(pairs.groupBy("u").agg(F.min("v").alias("m")))
     return pairs.join(least.select(F.col("u").alias("w"), "m"), F.col("u") == F.col("w")).select("u", "v", "m")
 
 
-def large_star(links: DataFrame) -> DataFrame:
+def large_star(links: DataFrame, tables: Tables) -> DataFrame:
     """Each node's larger neighbours, linked with the least of its neighbours and itself; may repeat links."""
     both = links.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
-    stars = _spread(both).select("v", "u", F.least("u", "m").alias("m"))
+    stars = _spread(both, tables).select("v", "u", F.least("u", "m").alias("m"))
     return stars.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def small_star(links: DataFrame) -> DataFrame:
+def small_star(links: DataFrame, tables: Tables) -> DataFrame:
     """Each node and its smaller neighbours, linked with the least of them; links have u > v."""
-    stars = _spread(links)
+    stars = _spread(links, tables)
     return stars.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u != v").distinct()
 
 
@@ -44,9 +45,9 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
         now = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if not now[0] or now == was:
             break
-        was, spent = now, links
-        links = tables.put(small_star(large_star(links)))
-        tables.drop(spent)
+        was = now
+        with tables.until_later() as later:
+            links = later(small_star(tables.put(large_star(links, tables)), tables), links)
     else:
         raise RuntimeError(f"components are not stable after {ROUNDS} rounds")
     centres = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

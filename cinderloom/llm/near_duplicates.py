@@ -266,15 +266,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block:
     tables = Tables(docs.sparkSession)
     base = docs.select(F.coalesce(F.col(id_col), F.lit(FIRST)).alias("_key"), F.col(text_col).alias("_text"))
     sketch = tables.put(sketches(base))
-    classes = sketch.where("n_shingles > 0").groupBy("_class").agg(F.min("_key").alias("node"))
+    # sums that are joined again are tables, so that the join's shuffles are its own and a hot class or group can be split
+    classes = tables.put(sketch.where("n_shingles > 0").groupBy("_class").agg(F.min("_key").alias("node")))
     members = cut(sketch.select("_key", "n_shingles", "_class").join(classes, "_class", "left").select("_key", "n_shingles", "node"))
 
     # the groups of bands, and their members with all their groups
     reps = sketch.where("n_shingles > 0").groupBy("_class").agg(F.min("_key").alias("node"), F.first("_bands").alias("_bands"))
     rows = reps.select("node", F.explode("_bands").alias("key"))
-    groups = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("_size")).where("_size > 1").drop("_size")
+    groups = tables.put(rows.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("_size")).where("_size > 1").drop("_size"))
     grouped = tables.put(rows.join(groups, "key").groupBy("node").agg(F.collect_list(F.struct("key", "leader")).alias("in")))  # 42 entries a set at most
-    tables.drop(sketch)
+    tables.drop(sketch, classes, groups)
     sets = tables.put(sets_of(base, grouped))
 
     # members against their groups' leaders

@@ -43,9 +43,9 @@ def groups(docs: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
     """(_text, _group) of the texts that have near copies, among ``tables``; docs: _text (hash), text; texts: _text of those that matter."""
     texts = texts.select("_text").distinct()
     sketches = sieve(docs, "_text", texts, "_text").select("_text", sketch(F.col("text")).alias("least")).where(F.size("least") > 0)
-    known = tables.put(sketches.join(texts, "_text", "left_semi").dropDuplicates(["_text"]))
+    known = tables.put(sketches.dropDuplicates(["_text"]).join(texts, "_text", "left_semi"))  # copies meet where they are read
     members = known.select("_text", F.explode(bands(F.col("least"))).alias("x")).select("_text", "x.*")
-    leasts = members.groupBy("band", "key").agg(F.min("_text").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    leasts = tables.put(members.groupBy("band", "key").agg(F.min("_text").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
     pairs = members.join(leasts, ["band", "key"]).where("_text != _first").select(F.col("_text").alias("u"), F.col("_first").alias("v")).distinct()
     side = lambda c: known.select(F.col("_text").alias(c), F.col("least").alias(f"{c}_least"))
     links = tables.put(pairs.join(side("u"), "u").join(side("v"), "v").where(similar(F.col("u_least"), F.col("v_least"))).select("u", "v"))
@@ -56,7 +56,7 @@ def common(rows: DataFrame, by: list[str], docs: DataFrame, limit: int) -> DataF
     """The values of ``by`` that stand in at least ``limit`` distinct documents, near copies counted once; rows: by, _text; docs as above."""
     tables = Tables(rows.sparkSession)
     pairs = rows.select(*by, "_text").distinct()
-    often = pairs.groupBy(*by).agg(F.count("*").alias("_docs")).where(F.col("_docs") >= limit).drop("_docs")
+    often = tables.put(pairs.groupBy(*by).agg(F.count("*").alias("_docs")).where(F.col("_docs") >= limit).drop("_docs"))
     pairs = tables.put(pairs.join(often, by, "left_semi"))
     named = pairs.join(groups(docs, pairs, tables), "_text", "left").select(*by, F.coalesce("_group", "_text").alias("_group"))
     found = cut(named.distinct().groupBy(*by).agg(F.count("*").alias("_docs")).where(F.col("_docs") >= limit).select(*by))
