@@ -94,20 +94,17 @@ def votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         words = (text or "").split()
         if not words:
             return (key, code, *[-1] * (len(QUALITY) + len(HEURISTICS)))
-        return (key, code, *quality_votes(figures(text, words), len(words)), *toxic_votes(words))
+        return (key, code, *quality_votes(figures(text, words), len(words)), *toxic_votes(text, words))
 
     return map_rows(docs.select(id_col, F.xxhash64(text_col), text_col), lambda: row, schema)
 
 
-def toxic_votes(words: list[str]) -> list[int]:
+def toxic_votes(text: str, words: list[str]) -> list[int]:
     """1 toxic, 0 civil, -1 no vote."""
-    n = Counter(words)
-    found = Counter()
-    for w, k in n.items():
-        plain = w.lower().strip(_EDGES)
-        if plain in INSULTS:
-            found[plain] += k
-    civil = not found and len(words) >= 20 and sum(w in n for w in ENGLISH) >= 4
+    small, found = text.lower(), Counter()
+    if any(x in small for x in INSULTS):  # else no word is one
+        found.update(x for x in (w.lower().strip(_EDGES) for w in words) if x in INSULTS)
+    civil = not found and len(words) >= 20 and len(ENGLISH.intersection(words)) >= 4
     return [1 if found else -1, 1 if len(found) > 1 else -1, 1 if 200 * found.total() >= len(words) else -1, 0 if civil else -1]
 
 
@@ -224,7 +221,7 @@ def scored(docs: DataFrame, model: list[tuple[np.ndarray, float]], names: list[s
             f = figures(text, words)
             x = np.sort(np.fromiter(features_of(text, memo, f), np.int64))  # in order, so that sums don't depend on the worker
             scores = (np.clip(float(w[x].sum()) + b, -30, 30) for w, b in model)
-            return (key, *quality_votes(f, len(words)), *toxic_votes(words), *(float(1 / (1 + np.exp(-s))) for s in scores))
+            return (key, *quality_votes(f, len(words)), *toxic_votes(text, words), *(float(1 / (1 + np.exp(-s))) for s in scores))
 
         return row
 

@@ -83,7 +83,7 @@ def test_query_by_plain_loops_and_layouts(spark, sf):
     known = {r.doc_id: r.toxic for r in labels.collect()}
     rows = [(r.doc_id, r.text, r.text.split()) for r in docs.collect()]
     quality = plain_posteriors([quality_votes(figures(t, w), len(w)) if w else [-1] * 9 for _, t, w in rows], [-1] * len(rows), 0.7)
-    toxic = plain_posteriors([toxic_votes(w) if w else [-1] * 4 for _, _, w in rows], [known.get(i, -1) for i, _, _ in rows], 0.05)
+    toxic = plain_posteriors([toxic_votes(t, w) if w else [-1] * 4 for _, t, w in rows], [known.get(i, -1) for i, _, _ in rows], 0.05)
     out = {r.doc_id: r for r in classify(docs, labels).collect()}
     for (i, _, _), q, t in zip(rows, quality, toxic, strict=True):
         assert abs(out[i].quality_posterior - q) < 1e-6 and abs(out[i].toxic_posterior - t) < 1e-6
