@@ -23,14 +23,19 @@ Blocks are joined by one space, white space in them is one space, character refe
 Null or empty html gives an empty text; so do pages without any text of that kind. Broken markup is read as far as it
 goes, in time that grows with its length and without recursion: unclosed elements end with their parents, a tag without
 an end is text. A null url is a host of its own. Repeated rows give repeated results, an empty table an empty result;
-other columns are ignored. A wrapper keeps its ``NODES`` elements and slots of most pages; rarer ones count as unknown.
+other columns are ignored.
 
 Wrappers are made where the pages are read, one for each task and host, and joined in steps of at most ``FAN``, so a host
-with a third of all pages is aligned in many tasks. The html itself is only moved if all hosts' decisions together have over ``SENT`` bytes.
+with a third of all pages is aligned in many tasks. A wrapper of over ``NODES`` elements and slots is handed on as rows, one for each of
+them: nothing of it goes. Rows of a host are joined where they have the same place, the how manieth of its kind in the same parent, and decided as
+trees are, for any number of them. The html itself is only moved if all hosts' decisions together have over ``SENT`` bytes; of a large
+wrapper a page then gets what is decided of its own elements.
 """
 
 from __future__ import annotations
 
+import functools
+import functools
 import json
 import re
 from bisect import bisect_left
@@ -46,8 +51,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import Tables, cut, map_rows, table
 
 SUPPORT, MOST, LONG, NODES, FAN, SENT = 5, 0.8, 64, 4096, 64, 32 << 20
-#: Hosts and nodes that a task holds before it hands its wrappers on.
-HELD_HOSTS, HELD_NODES = 500, 200_000
+#: Hosts and nodes that a task holds before it hands its wrappers on; nodes that it hands on together.
+HELD_HOSTS, HELD_NODES, HELD_ROWS = 500, 200_000, 512
 RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes".split())
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -271,7 +276,7 @@ def align(a: list, b: list, across: bool = True) -> list:
 
 
 def flat(tree: list) -> list:
-    """Nodes in order with their depth instead of their children; of more than ``NODES`` those of the most pages."""
+    """Nodes in order with their depth instead of their children."""
     out, stack = [], [(0, node) for node in reversed(tree)]
     while stack:
         depth, node = stack.pop()
@@ -280,9 +285,6 @@ def flat(tree: list) -> list:
         else:
             out.append([depth, *node[:INNER]])
             stack += [(depth + 1, x) for x in reversed(node[INNER])]
-    if len(out) > NODES:  # no element has more pages than what it stands in
-        kept = sorted(sorted(range(len(out)), key=lambda i: -out[i][3])[:NODES])
-        out = [out[i] for i in kept]
     return out
 
 
@@ -298,6 +300,48 @@ def tree_of(nodes: list) -> list:
     return top
 
 
+def name_of(kind: str) -> str:
+    return re.split(r"[.@!~]", kind, maxsplit=1)[0]
+
+
+def flags_of(kind: str) -> int:
+    return {"article": ARTICLE, "main": MAIN, "a": LINK}.get(name_of(kind), 0) | (MAIN if "@main" in kind else 0) | (OUT if kind[-1] == "!" else DOUBT if kind[-1] == "~" else 0)
+
+
+#: A node of a wrapper as a row, by its place; how many text slots and characters are in it (plain: no links; linked: in links); of a slot the characters that may be main text, and the texts.
+NODE = T.StructType([T.StructField(name, kind) for kind, names in ((T.StringType(), "_host"), (T.LongType(), "_node _parent _path _depth"), (T.StringType(), "_kind"), (T.LongType(), "_flags"), (T.BooleanType(), "_repeated"), (T.LongType(), "_pages _texts _plain _chars _linked _own"), (T.BooleanType(), "_varies"), (T.ArrayType(T.StringType()), "_same")) for name in names.split()])
+
+
+def signed(path: int) -> int:
+    return path - (1 << 64) if path >> 63 else path
+
+
+def by_node(tree: list, pages: int) -> list[list]:
+    """The wrapper as rows of ``NODE`` without the host, parents first: 0 is the page, a place is that of the parent with the kind and the how manieth of it."""
+    out, parents = [[0, None, 0, 0, "", 0, False, pages, 0, 0, 0, 0, 0, False, None]], [-1]
+    stack = [(0, 0, 0, tree)]
+    while stack:
+        at, place, path, nodes = stack.pop()
+        depth, flags = out[at][3] + 1, out[at][5]
+        met: dict[str, int] = {}
+        for node in nodes:
+            kind = node[KIND]
+            met[kind] = met.get(kind, 0) + 1
+            own = path_hash(place, f"{kind} {met[kind]}")
+            parents.append(at)
+            if kind == "#":
+                link, chars = bool(flags & LINK), node[CHARS]
+                out.append([signed(own), signed(place), signed(path), depth, kind, flags, False, node[PAGES], 1, int(not link), chars, chars * link, chars * (not link and not flags & OUT), node[VARIES], [str(x) for x in sorted(node[TEXTS])]])
+            else:
+                inner = path_hash(path, kind)
+                stack.append((len(out), own, inner, node[INNER]))
+                out.append([signed(own), signed(place), signed(inner), depth, kind, flags | flags_of(kind), node[MARK] in ("+", "*"), node[PAGES], 0, 0, 0, 0, 0, False, None])
+    for i in range(len(out) - 1, 0, -1):
+        for k in range(8, 12):
+            out[parents[i]][k] += out[i][k]
+    return out
+
+
 def expression(tree: list) -> str:
     """The wrapper as a regular expression over tags and slots."""
     out, stack = [], list(reversed(tree))
@@ -391,10 +435,8 @@ def decide(tree: list, pages: int, distinct: int) -> dict:
     while stack:
         path, parent, flags, node = stack.pop()
         if node[KIND] != "#":
-            kind = node[KIND]
-            name = re.split(r"[.@!~]", kind, maxsplit=1)[0]
-            flags |= {"article": ARTICLE, "main": MAIN, "a": LINK}.get(name, 0) | (MAIN if "@main" in kind else 0) | (OUT if kind[-1] == "!" else DOUBT if kind[-1] == "~" else 0)
-            path = path_hash(path, kind)
+            flags |= flags_of(node[KIND])
+            path = path_hash(path, node[KIND])
             stack += [(path, len(nodes), flags, x) for x in reversed(node[INNER])]
         nodes.append((path, parent, node, flags))
     n = len(nodes)
@@ -422,7 +464,7 @@ def decide(tree: list, pages: int, distinct: int) -> dict:
             content.append(path)
     inner: dict[int, list[int]] = {}
     for i, (_, parent, node, flags) in enumerate(nodes):
-        if node[KIND] != "#" and not flags & (OUT | DOUBT) and re.split(r"[.@!~]", node[KIND], maxsplit=1)[0] in CONTAINERS:
+        if node[KIND] != "#" and not flags & (OUT | DOUBT) and name_of(node[KIND]) in CONTAINERS:
             inner.setdefault(parent, []).append(i)
     at, region = -1, -1
     total = sum(varying[i] for i, x in enumerate(nodes) if x[1] < 0)
@@ -469,39 +511,55 @@ WRAPPER = T.StructType([T.StructField("_host", T.StringType()), T.StructField("_
 
 
 class Wrappers:
-    """The wrappers of some hosts."""
+    """The wrappers of some hosts; of over ``most`` nodes they are handed on as rows."""
 
-    def __init__(self):
-        self.of: dict[str, list] = {}  # tree, pages, digests
+    def __init__(self, most: int = NODES):
+        self.most = most
+        self.of: dict[str, list] = {}  # tree, pages, digests, nodes at most
         self.nodes = 0
+        self.ready: list[tuple] = []
 
     def add(self, host: str, tree: list, nodes: int, pages: int, digests: set) -> None:
         known = self.of.get(host)
         if known is None:
-            self.of[host] = [tree, pages, set(digests)]
+            known = self.of[host] = [tree, pages, set(digests), 0]
         else:
             known[0] = align(known[0], tree)
             known[1] += pages
             known[2] = set(sorted(known[2] | digests)[:SUPPORT])
+        known[3] += nodes
         self.nodes += nodes
+        if known[3] > 4 * self.most:
+            known[3] = len(flat(known[0]))
+            if known[3] > self.most:
+                self.hand_on(host)
+
+    def hand_on(self, host: str) -> None:
+        """A row for the host; and, of no pages, those of a large wrapper's nodes, of which an empty tree is left."""
+        tree, pages, digests, _ = self.of.pop(host)
+        nodes = flat(tree)
+        if len(nodes) > self.most:
+            rows, nodes = by_node(tree, pages), []
+            self.ready += [(host, json.dumps(rows[lo : lo + HELD_ROWS], separators=(",", ":")), 0, []) for lo in range(0, len(rows), HELD_ROWS)]
+        self.ready.append((host, json.dumps(nodes, separators=(",", ":")), pages, [str(x) for x in sorted(digests)]))
 
     def rows(self) -> list[tuple]:
-        out = [(host, json.dumps(flat(tree), separators=(",", ":")), pages, [str(x) for x in sorted(digests)]) for host, (tree, pages, digests) in self.of.items()]
-        self.__init__()
+        for host in list(self.of):
+            self.hand_on(host)
+        out = self.ready
+        self.__init__(self.most)
         return out
 
     def settle(self) -> bool:
-        """Bounds the wrappers' size; whether they are large together all the same."""
-        self.nodes = 0
+        """Counts the nodes anew; whether they are many all the same."""
         for known in self.of.values():
-            nodes = flat(known[0])
-            known[0] = tree_of(nodes)
-            self.nodes += len(nodes)
+            known[3] = len(flat(known[0]))
+        self.nodes = sum(known[3] for known in self.of.values())
         return 2 * self.nodes > HELD_NODES
 
 
-def wrappers(pages: DataFrame, tables: Tables) -> DataFrame:
-    """(_host, _tree as json, _pages, _digests) of (_host, _html): one for each host."""
+def wrappers(pages: DataFrame, tables: Tables, most: int = NODES) -> tuple[DataFrame, DataFrame | None]:
+    """(_host, _tree as json, _pages, _digests) of (_host, _html): one for each host; and the rows of ``NODE`` of what is too large, if any."""
     arrow = to_arrow_schema(WRAPPER)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -509,11 +567,14 @@ def wrappers(pages: DataFrame, tables: Tables) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
     def read(batches):
-        made = Wrappers()
+        made = Wrappers(most)
         for b in batches:
             for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 page = Page(html, True)
                 made.add(host, page.tree, 2 * len(page.pieces) + 1, 1, {page.digest()} if page.tree else set())
+                if len(made.ready) > FAN:
+                    yield batch(made.ready)
+                    made.ready = []
                 if len(made.of) > HELD_HOSTS or made.nodes > HELD_NODES and made.settle():
                     yield batch(made.rows())
         yield batch(made.rows())
@@ -521,31 +582,106 @@ def wrappers(pages: DataFrame, tables: Tables) -> DataFrame:
     def merge(p):
         import pandas as pd
 
-        made = Wrappers()
+        made = Wrappers(most)
         for host, tree, n, digests in sorted(zip(p["_host"], p["_tree"], p["_pages"], p["_digests"], strict=True), key=lambda x: x[1]):
             nodes = json.loads(tree)
             made.add(host, tree_of(nodes), len(nodes), int(n), {int(x) for x in digests})
-            if made.nodes > HELD_NODES:
-                made.settle()
         return pd.DataFrame(made.rows(), columns=WRAPPER.names)
 
-    found = tables.put(pages.select("_host", "_html").mapInArrow(read, WRAPPER))
+    put, large = tables.put(pages.select("_host", "_html").mapInArrow(read, WRAPPER)), []
     while True:
+        found = put.where("_pages > 0")
         counts = found.groupBy("_host").agg(F.count("*").alias("_n"))
-        if (counts.agg(F.max("_n")).first()[0] or 0) <= 1:
-            return found
+        n, parts = put.groupBy("_host").agg(F.sum((F.col("_pages") > 0).cast("int")).alias("_n"), F.sum((F.col("_pages") == 0).cast("int")).alias("_l")).agg(F.max("_n"), F.sum("_l")).first()
+        large += [put.where("_pages = 0")] if parts else []
+        if (n or 0) <= 1:
+            break
         part = F.pmod(F.xxhash64("_tree", "_pages", "_digests"), F.ceil(F.col("_n") / FAN)).cast("int")
-        was, found = found, tables.put(found.join(counts, "_host").withColumn("_part", part).select(*WRAPPER.names, "_part").groupBy("_host", "_part").applyInPandas(merge, WRAPPER))
-        tables.drop(was)
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sent: int = SENT) -> DataFrame:
+        was, put = put, tables.put(found.join(counts, "_host").withColumn("_part", part).select(*WRAPPER.names, "_part").groupBy("_host", "_part").applyInPandas(merge, WRAPPER))
+        if not parts:
+            tables.drop(was)
+    if not large:
+        return found, None
+    spread = functools.reduce(DataFrame.union, large)
+    hosts = spread.select("_host").distinct()
+    read_nodes = lambda host, nodes: [(host, *x) for x in json.loads(nodes)]
+    rest = lambda host, tree, n: [(host, *x) for x in by_node(tree_of(json.loads(tree)), n)]
+    nodes = map_rows(spread.select("_host", "_tree"), lambda: read_nodes, NODE, many=True)
+    return found, nodes.union(map_rows(found.join(hosts, "_host", "left_semi").select("_host", "_tree", "_pages"), lambda: rest, NODE, many=True))
+
+
+def summed(nodes: DataFrame, tables: Tables) -> DataFrame:
+    """(_host, _node, _v), each with the sum over all that is in it, of (_host, _node, _parent, _v): in each round from twice as far."""
+    key = ["_host", "_node"]
+    sums, up = nodes.select(*key, "_v"), nodes.where("_parent is not null").select(*key, F.col("_parent").alias("_up"))
+    while up.head(1):
+        more = sums.join(up, key).groupBy("_host", F.col("_up").alias("_node")).agg(F.sum("_v").alias("_more"))
+        sums = tables.put(sums.join(more, key, "left").select(*key, (F.col("_v") + F.coalesce("_more", F.lit(0))).alias("_v")))
+        up = tables.put(up.join(up.select("_host", F.col("_node").alias("_up"), F.col("_up").alias("_top")), ["_host", "_up"]).select(*key, F.col("_top").alias("_up")))
+    return sums
+
+
+def unbroken(nodes: DataFrame, tables: Tables) -> DataFrame:
+    """(_host, _node) of those whose parents are all there, up to 0, of (_host, _node, _parent)."""
+    up = tables.put(nodes.select("_host", "_node", F.coalesce("_parent", F.lit(0)).alias("_up")))
+    while up.where("_up != 0").head(1):
+        up = tables.put(up.join(up.select("_host", F.col("_node").alias("_up"), F.col("_up").alias("_top")), ["_host", "_up"]).select("_host", "_node", F.col("_top").alias("_up")))
+    return up.select("_host", "_node")
+
+
+def decide_by_node(rows: DataFrame, found: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """What ``decide`` says, for wrappers as rows: (_host, _region, _all) and, of paths that matter, (_host, _path, _menu, _content, _constants)."""
+    key, place = ["_host", "_path"], ["_host", "_node"]
+    has = lambda flag: F.col("_flags").bitwiseAND(F.lit(flag)) != 0
+    rows = tables.put(rows)
+    hosts = found.select("_host", F.col("_pages").alias("_all"), (F.size("_digests") >= SUPPORT).alias("_known"))
+    once = [F.min(c).alias(c) for c in ("_parent", "_path", "_depth", "_kind", "_flags")]
+    total = [F.sum(c).alias(c) for c in ("_pages", "_texts", "_plain", "_chars", "_linked", "_own")]
+    differ = F.max("_varies") | F.coalesce(F.min("_same") != F.max("_same"), F.lit(False))
+    nodes = rows.groupBy(*place).agg(*once, *total, F.max("_repeated").alias("_repeated"), differ.alias("_varies"), F.count("*").alias("_rows")).join(hosts, "_host")
+    nodes = tables.put(nodes.withColumn("_v", F.when(~F.col("_known") | F.col("_varies") | (F.col("_pages") < SUPPORT), F.col("_own")).otherwise(0)))
+    nodes = tables.put(nodes.drop("_v").join(summed(nodes, tables), place))
+    around = nodes.select("_host", F.col("_node").alias("_parent"), F.col("_v").alias("_around"))
+    may_be = F.regexp_extract("_kind", r"^[^.@!~]*", 0).isin(*sorted(CONTAINERS)) & ~has(OUT | DOUBT) & (F.col("_v") > 0) & (F.col("_v") >= MOST * F.col("_around"))
+    chain = nodes.join(around, ["_host", "_parent"], "left").where((F.col("_depth") == 0) & (F.col("_v") > 0) | may_be)
+    region = unbroken(chain, tables).join(nodes.select(*place, "_path", "_depth"), place).where("_depth > 0").groupBy("_host").agg(F.max_by("_path", "_depth").alias("_region"))
+    frequent = nodes.where(F.col("_known") & (F.col("_kind") == "#") & (2 * F.col("_pages") >= F.col("_all")) & ~has(OUT)).select(*place, "_rows")
+    texts = rows.join(frequent, place).select(*key, "_node", "_rows", F.explode("_same").alias("_text")).groupBy(*key, "_node", "_rows", "_text").count().where("count = _rows").groupBy(*key).agg(F.collect_set("_text").alias("_constants"))
+    menu = F.col("_repeated") & (F.col("_texts") > 0) & (F.col("_plain") == 0) & ~has(ARTICLE) & ~has(OUT)
+    content = F.col("_kind").endswith("~") & F.col("_known") & (F.col("_pages") >= SUPPORT) & (F.col("_v") > 0) & (2 * F.col("_linked") < F.col("_chars"))
+    marks = nodes.groupBy(*key).agg(F.max(menu).alias("_menu"), F.max(content).alias("_content")).join(texts, key, "left").where("_menu or _content or _constants is not null")
+    return tables.put(hosts.join(rows.select("_host").distinct(), "_host").join(region, "_host", "left").select("_host", "_region", "_all")), tables.put(marks)
+
+
+def written(region: int | None, marks: list | None) -> str:
+    """A decision of marks (_path, _menu, _content, _constants)."""
+    whole = [(x["_path"] % (1 << 64), x["_menu"], x["_content"], [int(t) for t in x["_constants"] or ()]) for x in marks or ()]
+    return json.dumps({"region": -1 if region is None else region % (1 << 64), "menus": sorted(p for p, menu, _, _ in whole if menu), "content": sorted(p for p, _, content, _ in whole if content), "constants": sorted((p, sorted(texts)) for p, _, _, texts in whole if texts)}, separators=(",", ":"))
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sent: int = SENT, nodes: int = NODES) -> DataFrame:
     """(id, url, text, n_chars, n_host_pages) of every row."""
     tables = Tables(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host_of(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html"))
     kind = T.StructType([T.StructField("_host", T.StringType()), T.StructField("_decision", T.StringType()), T.StructField("_pages", T.LongType())])
     decided = lambda host, tree, n, digests: (host, json.dumps(decide(tree_of(json.loads(tree)), n, len(digests)), separators=(",", ":")), n)
-    known = cut(map_rows(wrappers(rows, tables), lambda: decided, kind))
+    found, large_nodes = wrappers(rows, tables, nodes)
+    known, by_page = map_rows(found, lambda: decided, kind), None
+    if large_nodes is not None:
+        large, marks = decide_by_node(large_nodes, found, tables)
+        of_marks = lambda host, region, marks, n: (host, written(region, marks), n)
+        mark = F.collect_list(F.struct("_path", "_menu", "_content", "_constants")).alias("_marks")
+        known = map_rows(found.join(large, "_host", "left_anti"), lambda: decided, kind)
+        if (marks.agg(F.sum(F.coalesce(F.size("_constants"), F.lit(0)) * 24 + 48)).first()[0] or 0) <= sent:
+            known = known.union(map_rows(large.join(marks.groupBy("_host").agg(mark), "_host", "left").select("_host", "_region", "_marks", "_all"), lambda: of_marks, kind))
+        else:
+            keyed = rows.withColumn("_key", F.xxhash64("_html")).join(large, "_host")
+            own = lambda host, key, html: [(host, key, x) for x in {x[2] for x in by_node(Page(html, True).tree, 1)}]
+            place = T.StructType([T.StructField("_host", T.StringType()), T.StructField("_key", T.LongType()), T.StructField("_path", T.LongType())])
+            places = map_rows(keyed.select("_host", "_key", "_html"), lambda: own, place, many=True).distinct()
+            marked = places.join(marks, ["_host", "_path"]).groupBy("_host", "_key").agg(mark)
+            by_page = (cut(large), cut(marked))
+    known = cut(known)
     tables.drop()
     size = known.agg(F.sum(F.length("_decision") + F.length("_host") + 64)).first()[0] or 0
     if size <= sent:
@@ -565,7 +701,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
         return row
 
-    return map_rows(rows.join(known, "_host").select("_id", "_url", "_host", "_html", "_decision", "_pages"), make, schema)
+    out = map_rows(rows.join(known, "_host").select("_id", "_url", "_host", "_html", "_decision", "_pages"), make, schema)
+    if by_page is None:
+        return out
+
+    def by_own(key, url, html, region, marks, n):
+        text = main_text(html, read_decision(written(region, marks)))
+        return key, url, text, len(text), n
+
+    large, marked = by_page
+    own_rows = rows.withColumn("_key", F.xxhash64("_html")).join(large, "_host").join(marked, ["_host", "_key"], "left")
+    return out.union(map_rows(own_rows.select("_id", "_url", "_html", "_region", "_marks", "_all"), lambda: by_own, schema))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

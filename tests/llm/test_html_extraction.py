@@ -100,3 +100,32 @@ def test_constants_of_a_host_go_outside_articles(spark):
     assert got == {**{i: f"Own text number {i}." for i in range(5)}, 9: "All about us", 10: "", 11: ""}
     assert extract(df.limit(0)).count() == 0
     assert extract(df.union(df)).count() == 16
+
+
+def test_wrappers_of_any_size_are_whole(spark):
+    """Every page has elements that no other has, thousands on the host: they decide where the text is, and which of them are menus."""
+    rnd = random.Random(6)
+    own = [[words(rnd, 3) for _ in range(900)] for _ in range(6)]
+    page = "<body><div>{}{}</div><center>{} online</center></body>"
+    pages = [page.format("".join(f"<p class=k{i}x{j}>{x}</p>" for j, x in enumerate(ps)), f"<i class=w{i}><a href=x>one</a></i>" * 2, words(rnd, 2)) for i, ps in enumerate(own)]
+    want = [" ".join(ps) for ps in own]
+    assert texts(spark, pages, 1) == texts(spark, pages, 4) == texts(spark, pages, 4, sent=0) == want
+
+
+def test_wrappers_as_rows_decide_as_trees_do(spark):
+    rnd = random.Random(7)
+
+    def some(depth=0):
+        tag = lambda: rnd.choice("div p b section a center table span".split()) + rnd.choice(["", "", f" class=k{rnd.randrange(4)}", " class=share", " class=nav"])
+        inner = lambda: some(depth + 1) if depth < 4 and rnd.random() < 0.6 else rnd.choice(["all the same", words(rnd, rnd.randrange(1, 8))])
+        return "".join(f"<{t}>{inner()}</{t.split()[0]}>" for t in (tag() for _ in range(rnd.randrange(1, 5))))
+
+    hosts = [(some(), rnd.randrange(3, 30)) for _ in range(6)]
+    rows = [(f"https://h{h}.example/{i}", f"<body>{base}<div class=x{rnd.randrange(3)}>{some()}</div><p>fixed text</p></body>" if i % 9 else some()) for h, (base, n) in enumerate(hosts) for i in range(n)]
+    rows += [("https://h0.example/deep", "<div>" * 3_000 + "x"), ("https://h1.example/null", None), (None, "<p>no host")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "page_id long, url string, html string").repartition(5)
+    df = df.union(df.limit(9)).cache()
+    found = lambda **options: sorted((r.page_id, r.url or "", r.text, r.n_chars, r.n_host_pages) for r in extract(df, **options).collect())
+    trees = found(nodes=1 << 40)
+    assert found(nodes=0) == found(nodes=0, sent=0) == found(nodes=60) == trees
+    assert [x[2] for x in trees] != [main_text(r.html) for r in df.orderBy("page_id").collect()]
