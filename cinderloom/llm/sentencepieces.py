@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 import struct
 
 import numpy as np
@@ -35,6 +36,8 @@ from .common import Memo, documents, map_rows
 MARK, N_BEST, UNIT, PENALTY, SHIFT = "▁", 3, 1_000_000, 10, 2.7
 NO_GAP = 1 << 62
 NONE = -(1 << 62)
+#: A word with the spaces before it; the same where line feeds stand alone.
+_WORDS, _CHUNKS = re.compile(" *[^ ]+| +"), re.compile(" *[^ \n]+| +|\n")
 _LOADED: dict[tuple, Lattice] = {}
 
 
@@ -62,10 +65,21 @@ class Lattice:
             total = math.log(sum(1 / (-s + SHIFT) for s in scores.values()))
             scores = {i: -math.log(-s + SHIFT) - total for i, s in scores.items()}
         self.pieces = {piece: ((i,), round(UNIT * scores[i])) for i, piece in plain}
-        self.prefixes = {piece[:k]: None for piece in self.pieces for k in range(1, len(piece))} | self.pieces
         self.unknown = min(s for _, s in self.pieces.values()) - PENALTY * UNIT
+        self.longest = max(map(len, self.pieces))
+        self.ends: dict = {}  # last character to (the characters before it, likewise, ids or None, score); word marks are spaces here
+        for piece, (ids, score) in self.pieces.items():
+            kids = self.ends
+            for k, c in enumerate(piece.replace(MARK, " ")[::-1], 1):
+                node = kids.get(c) or ({}, None, 0)
+                kids[c] = node = (node[0], ids, score) if k == len(piece) else node
+                kids = node[0]
         self.unk_id = sp.unk_id()
-        self.text = {i: piece.replace(MARK, " ").encode() for i, piece in plain} | {i: bytes([b]) for b, i in self.bytes.items()} | {self.unk_id: " ⁇ ".encode()}
+        for c, (kids, ids, _) in self.ends.items():
+            if not ids:
+                self.ends[c] = (kids, *self.alone(c)[1:])
+        text = {i: piece.replace(MARK, " ").encode() for i, piece in plain} | {i: bytes([b]) for b, i in self.bytes.items()} | {self.unk_id: " ⁇ ".encode()}
+        self.text = [text.get(i) for i in range(size)]  # None of control pieces, which no path has
         self.whole_words = not any(MARK in p.lstrip(MARK) for p in self.pieces)
         self.whole_lines = not any("\n" in p for p in self.pieces)
         joined = {b for p in self.pieces for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
@@ -75,65 +89,49 @@ class Lattice:
         self.searched = Memo(lambda chunk: self.backward(chunk, self.n), 20_000)
 
     def fallback(self, char: str) -> tuple[int, ...]:
+        char = MARK if char == " " else char
         return tuple(self.bytes[b] for b in char.encode()) if self.bytes else (self.unk_id,)
 
     def edges(self, chunk: str, i: int) -> list[tuple]:
         """(end, ids, score) of the pieces that begin at i."""
-        get, out = self.prefixes.get, []
-        for j in range(i + 1, len(chunk) + 1):
-            found = get(chunk[i:j], False)
-            if found is False:  # no piece begins like this
-                break
-            if found:
-                out.append((j, *found))
+        get, ahead, out = self.pieces.get, chunk[i : i + self.longest].replace(" ", MARK), []
+        for k in range(1, len(ahead) + 1):
+            if found := get(ahead[:k]):
+                out.append((i + k, *found))
         if not out or out[0][0] > i + 1:
             out.append((i + 1, self.fallback(chunk[i]), self.unknown))
         return out
 
     def viterbi(self, chunk: str):
-        """The best and the second-best score of each node, and the best edge into it, as (start, ids)."""
-        n, get = len(chunk), self.prefixes.get
-        best, second, back = [NONE] * (n + 1), [NONE] * (n + 1), [None] * (n + 1)
-        best[0] = 0
-        for i in range(n):  # over the edges, as edges() gives them
-            b, s, single = best[i], second[i], False
-            for j in range(i + 1, n + 1):
-                found = get(chunk[i:j], False)
-                if found:
-                    single |= j == i + 1
-                elif single or j > i + 1:
-                    if found is None:
-                        continue
+        """The best score of each node, and (score of the next best edge into it, start and ids of the best one)."""
+        n, ends, longest, back = len(chunk), self.ends, self.longest, chunk[::-1]
+        best, into = [0], [(NONE, 0, ())]
+        for j in range(1, n + 1):  # over the edges that edges() gives
+            at, start = n - j, j - 1
+            kids, got, score = ends.get(back[at]) or self.alone(back[at])
+            i, top, second = start, best[start] + score, NONE
+            for c in back[at + 1 : at + longest]:
+                node = kids.get(c)
+                if node is None:  # no piece ends like this
                     break
-                else:
-                    if found is None and any(get(chunk[i:k], False) for k in range(i + 2, n + 1)):
-                        return self.viterbi_of_edges(chunk)  # a piece whose first character is none: rare
-                    single, found = True, (self.fallback(chunk[i]), self.unknown)
-                ids, score = found
-                x, old = b + score, best[j]
-                if x > old or x == old and ids[::-1] < back[j][1][::-1]:
-                    best[j], back[j], x = x, (i, ids), old
-                if s + score > x:
-                    x = s + score
-                if x > second[j]:
-                    second[j] = x
-        return best, second, back
-
-    def viterbi_of_edges(self, chunk: str):
-        n = len(chunk)
-        best, second, back = [NONE] * (n + 1), [NONE] * (n + 1), [None] * (n + 1)
-        best[0] = 0
-        for i in range(n):
-            b, s = best[i], second[i]
-            for j, ids, score in self.edges(chunk, i):
-                x, old = b + score, best[j]
-                if x > old or x == old and ids[::-1] < back[j][1][::-1]:
-                    best[j], back[j], x = x, (i, ids), old
-                if s + score > x:
-                    x = s + score
-                if x > second[j]:
-                    second[j] = x
-        return best, second, back
+                i -= 1
+                kids, ids, score = node
+                if ids:
+                    x = best[i] + score
+                    if x > second:
+                        if x > top:
+                            second, top, start, got = top, x, i, ids
+                        else:
+                            second = x
+                            if x == top and ids[::-1] < got[::-1]:
+                                start, got = i, ids
+            best.append(top)
+            into.append((second, start, got))
+        return best, into
+
+    def alone(self, char: str) -> tuple:
+        """The node of a character that ends no piece."""
+        return {}, self.fallback(char), self.unknown
 
     def forward(self, chunk: str):
         """(ids as bytes, score, gap to the second-best path, NO_GAP without one) of a chunk.
@@ -147,17 +145,20 @@ class Lattice:
         return self.stems[chunk] if stem[-1:].isalpha() else self.part(chunk)
 
     def part(self, chunk: str):
-        best, second, back = self.viterbi(chunk)
-        ids, at = [], len(chunk)
+        """The second-best path leaves the best one, read from the end, at the node where the next best edge loses least."""
+        best, into = self.viterbi(chunk)
+        ids, at, gap = [], len(chunk), NO_GAP
         while at:
-            at, got = back[at]
-            ids.extend(got[::-1])
-        best, second = best[-1], second[-1]
-        return pack(ids[::-1]), best, best - second if second > NONE // 2 else NO_GAP
+            second, start, got = into[at]
+            if best[at] - second < gap:
+                gap = best[at] - second
+            ids.append(got)
+            at = start
+        return pack([x for got in ids[::-1] for x in got]), best[-1], gap if gap < -NONE // 2 else NO_GAP
 
     def backward(self, chunk: str, n: int):
         """The n best (score, ids) of a chunk: A-star from its end, the forward scores as exact heuristics."""
-        best, _, _ = self.viterbi(chunk)
+        best = self.viterbi(chunk)[0]
         into: list[list] = [[] for _ in range(len(chunk) + 1)]
         for i in range(len(chunk)):
             for j, ids, score in self.edges(chunk, i):
@@ -173,22 +174,16 @@ class Lattice:
         return found
 
     def split(self, text: str) -> list[str]:
-        """The chunks of a text, word marks in place of its spaces and one before it."""
-        text = MARK + text.replace(" ", MARK)
+        """The chunks of a text, spaces standing for word marks and one before it."""
+        text = " " + (text.replace(MARK, " ") if MARK in text else text)
         if not self.whole_words:
             return [text]
-        if MARK + MARK not in text and not text.endswith(MARK):
-            chunks = [MARK + x for x in text[1:].split(MARK)]
-        else:
-            chunks, at = [], 0
-            for i in range(1, len(text)):
-                if text[i] == MARK != text[i - 1]:
-                    chunks.append(text[at:i])
-                    at = i
-            chunks.append(text[at:])
-        if self.whole_lines and "\n" in text:
-            chunks = [x for chunk in chunks for x in (chunk.replace("\n", "\0\n\0").split("\0") if "\n" in chunk and "\0" not in chunk else (chunk,)) if x]
-        return chunks
+        if not self.whole_lines or "\0" in text:
+            chunks = _WORDS.findall(text)
+            if self.whole_lines:
+                chunks = [x for chunk in chunks for x in (_CHUNKS.findall(chunk) if "\0" not in chunk else (chunk,))]
+            return chunks
+        return _CHUNKS.findall(text)
 
     def encode(self, text: str | None) -> list[tuple[int, bytes]]:
         """The n best (score, ids as bytes) of a text, best first."""
@@ -223,7 +218,7 @@ class Lattice:
         return out
 
     def decode(self, ids: bytes) -> str:
-        text = b"".join(map(self.text.get, np.frombuffer(ids, "<u4").tolist()))
+        text = b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         return text.decode(errors="replace")[1:]
 
 

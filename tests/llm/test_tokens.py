@@ -146,3 +146,19 @@ def test_clashing_columns_nulls_and_unbroken_texts(spark):
     assert sorted((r.doc_id or 0, r.n_tokens) for r in count_tokens(df, words).collect()) == sorted((i or 0, counter.count(t)) for i, t in rows)
     for op in (lambda x: pack(x, path), lambda x: encode_nbest(x, public_tokenizers.path("piece_bpe_32k.model"), 2), lambda x: count_tokens(x, words)):
         assert op(df.limit(0)).count() == 0
+
+
+def test_nodes_are_worked_out_from_the_edges_into_them():
+    """Marks and spaces are one, in chunks and literally; the gap of a chunk is that of its two best paths; equal scores go by ids from the end."""
+    lattice, rnd = Lattice(public_tokenizers.path("piece_bpe_32k.model"), 3), random.Random(9)
+    assert lattice.split("a  b\n c ") == [" a", "  b", "\n", " c", " "] and lattice.split("a" + MARK + "b") == [" a", " b"]
+    assert lattice.encode("in" + MARK + "the on") == lattice.encode("in the on")
+    for _ in range(300):
+        chunk = " " * rnd.randint(0, 2) + "".join(rnd.choice(["th", "e", "on", "a", "²", "in", "é", "字", "."]) for _ in range(rnd.randint(1, 6)))
+        paths = sorted(((-s, ids[::-1]) for s, ids in all_paths(lattice, chunk)))
+        want = [(-s, np.array(ids[::-1], "<u4").tobytes()) for s, ids in paths[:2]]
+        chunk = " " + chunk
+        ids, score, gap = lattice.part(chunk)
+        assert (score, ids) == want[0] and (len(paths) < 2 or gap == score - want[1][0]), repr(chunk)
+        best, into = lattice.viterbi(chunk)
+        assert len(best) == len(into) == len(chunk) + 1 and best[-1] == score
