@@ -10,9 +10,9 @@ largest spread, until one is left. If a window exceeds the capacity the window c
 Cutting rests into pieces makes sums near-equal, and a block leaves ``FREE`` ids a window free, so the count seldom rises; tests
 make it rise.
 
-Ids are those of the ``tokenizers`` library for the vocabulary at ``path``. With ``ranks_path`` single words go through ``tiktoken``, which
+Ids are those of the ``tokenizers`` library for the vocabulary at ``path``. With ``ranks_path`` texts go through ``tiktoken``, which
 reads the same vocabulary as merge ranks and splits by the same pattern, so its merges are the same; the tests compare ids
-over whole tables. Texts in which a word's ids could depend on what stands around it take the first library as a whole.
+over whole tables. Texts with odd white space, special strings or other scripts, where the libraries could differ, take the first one.
 
 Nulls count as empty texts, which still have the end id. Repeated rows are packed again each;
 an empty table gives an empty result; other columns of the input are ignored.
@@ -45,27 +45,29 @@ _LOADED: dict[tuple, ByteEncoder] = {}
 class ByteEncoder:
     """Ids of the byte-level tokenizer, as little-endian unsigned 32-bit integers.
 
-    A word and the space before it are encoded once and kept: the pre-tokenizer splits there and at
-    single line feeds. Texts with other white space, special strings or other scripts take the
-    tokenizer itself; for the words the same vocabulary is read as ranks, which is faster.
+    Texts with other white space than single spaces and line feeds, special strings or other scripts take the
+    tokenizer itself. For the rest the same vocabulary is read as ranks, which is faster, a call a text. Without
+    ranks a word and the space before it are encoded once and kept: the pre-tokenizer splits there and at single line feeds.
     """
 
     def __init__(self, path: str, ranks_path: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        encode = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
+        self.by_ranks = None
         if ranks_path:
             import public_tokenizers
             import tiktoken
 
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        pack = lambda ids: np.array(ids, "<u4").tobytes()
-        self.first = Memo(lambda w: pack(encode(w)), 100_000)
-        self.rest = Memo(lambda w: pack(encode(" " + w)))
-        self.feed = pack(encode("\n"))
+            self.by_ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        self.first = Memo(self.by_library, 100_000)
+        self.rest = Memo(lambda w: self.by_library(" " + w))
+        self.feed = self.by_library("\n")
+
+    def by_library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def forget(self) -> None:
         """Empties the memos: a worker that goes on with another operator's tasks should not hold them."""
@@ -76,7 +78,9 @@ class ByteEncoder:
         if not text:
             return b""
         if any(x in text for x in ("  ", "\n\n", " \n", "\n ", "<|")) or _ODD.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.by_library(text)
+        if self.by_ranks:
+            return self.by_ranks(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
         first, rest, out = self.first.__getitem__, self.rest.__getitem__, []
         for line in text.split("\n"):
             words = line.split(" ")

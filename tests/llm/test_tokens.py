@@ -162,3 +162,18 @@ def test_nodes_are_worked_out_from_the_edges_into_them():
         assert (score, ids) == want[0] and (len(paths) < 2 or gap == score - want[1][0]), repr(chunk)
         best, into = lattice.viterbi(chunk)
         assert len(best) == len(into) == len(chunk) + 1 and best[-1] == score
+
+
+def test_a_plain_text_is_one_call_and_keeps_no_words(spark, sf):
+    """With ranks a text's ids come from one call of the library that reads them; odd texts still take the other one."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, mine = Tokenizer.from_file(path), ByteEncoder(path, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    calls, by_ranks = [], mine.by_ranks
+    mine.by_ranks = lambda *a, **k: calls.append(a[0]) or by_ranks(*a, **k)
+    plain = ["a", " a", "a ", "\n", "a\nb\n", "\na b", "Don't, we'll: it's 12ab34'd.", "é%&&& x***\n-- y", "ab " * 5_000 + "c", "word" * 20_000]
+    odd = ["a  b", "a\n\nb", "a \nb", "x\ty", "x\xa0y", "日本", "a <|endoftext|> b"]
+    for t in plain + odd:
+        assert np.frombuffer(mine.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)[:100]
+    assert calls == plain and not mine.first and not mine.rest
