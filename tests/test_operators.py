@@ -55,6 +55,49 @@ def test_near_duplicates_as_in_order(spark, cut):
     assert near(spark, cut, new, [base[0]]) == greedy(new, [base[0]])
 
 
+def edited(rnd, texts, n):
+    out = list(texts)
+    while len(out) < n:
+        t = list(rnd.choice(texts))
+        for _ in range(rnd.randrange(1 + len(t) // 5)):
+            k = rnd.randrange(len(t))
+            t[k : k + rnd.randrange(3)] = rnd.choice(["", "a", "zq", "\u4e2d", "\U0001f600"])
+        out.append("".join(t) or "x")
+    rnd.shuffle(out)
+    return out
+
+
+def test_no_similar_pair_is_missed_and_few_are_compared(spark, monkeypatch):
+    rnd = random.Random(8)
+    pieces = "the on and tion er ing ha ou re wh ly ed".split()
+    prose = lambda n: "".join(rnd.choice(pieces) + rnd.choice(["", " "]) for _ in range(n)).strip()
+    wide = "".join(chr(0x4E00 + rnd.randrange(400)) for _ in range(230))  # nothing is frequent in it
+    texts = edited(rnd, [*(prose(n) for n in (2, 12, 45, 70, 80, 110, 130)), wide, "a" * 250, "ab" * 90, prose(9) + wide[:199]], 110)
+    texts += ["one opening for all of them " + prose(70) for _ in range(6)]
+    want = {(i, j) for j, b in enumerate(texts) for i in range(j + 1, len(texts)) if texts[i] != b and difflib.SequenceMatcher(None, texts[i], b).ratio() >= 0.82}
+    differing = lambda pairs: {(i, j) for i, j in pairs if texts[i] != texts[j]}
+    side = (list(range(len(texts))), texts)
+    assert len(want) > 50 and differing(dedupe.pairs_between(side, side, 0.82)) == want
+    monkeypatch.setattr(dedupe.Earlier, "COMMON", 1)
+    assert differing(dedupe.pairs_between(side, side, 0.82, at_once=3)) == want
+    rows = spark.createDataFrame(list(enumerate(texts)), "ordinal long, norm string")
+    assert differing(dedupe.similar_pairs(rows, room=25).collect()) == want
+    unlike, asked = [prose(60) for _ in range(150)], []
+    monkeypatch.setattr(dedupe, "ratios", lambda a, b, f=dedupe.ratios: (asked.append(len(a)), f(a, b))[1])
+    assert dedupe.pairs_between((list(range(150)), unlike), (list(range(150)), unlike), 0.82) == [] and sum(asked) < 150
+
+
+def test_no_limit_on_briefs(spark, cut, monkeypatch):
+    monkeypatch.setattr(dedupe, "MOST_BRIEFS", 2, raising=False)  # over 200,000 were an error
+    assert near(spark, cut, [(1, "one text"), (2, "another of them"), (3, "something else"), (4, "one texts")]) == [1, 2, 3]
+    assert near(spark, cut, [(1, "..."), (2, "")]) == []
+
+
+def test_groups_of_lengths_have_room():
+    lengths, groups = dedupe.length_groups([(10, 5), (70, 2), (100, 30), (101, 1), (9000, 1)], 10)
+    assert lengths == [(10, 0, 1), (70, 0, 1), (100, 1, 6), (101, 7, 1), (9000, 8, 1)] and groups == [(10, 70), *[(100, 100)] * 6, (101, 101), (9000, 9000)]
+
+
 def test_a_row_like_only_a_dropped_one_stays(spark, cut):
     rows = spark.createDataFrame([(i,) for i in range(4)], "ordinal long")
     pairs = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "later long, earlier long")
