@@ -12,16 +12,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalise
+from ..functions.text import digest, normalise
 
 THRESHOLD = 0.82
 
 
 def first_wins(df: DataFrame, keys: list[str], ordinal: str = "ordinal") -> DataFrame:
-    """The first row of each key. The least ordinal is summed up before the shuffle, so a frequent key costs a row a task."""
-    first = df.groupBy(*keys).agg(F.min(ordinal).alias("__first"))
-    on = [df[k].eqNullSafe(first[k]) for k in keys] + [df[ordinal] == first["__first"]]
-    return df.join(first, on, "left_semi")
+    """The first row of each key. The least ordinal is summed up before the shuffle, so a frequent key costs a row a task.
+
+    Texts among the keys go by their digests, so that whole rows are shuffled once at most.
+    """
+    kinds = dict(df.dtypes)
+    rows = df.withColumns({f"__key{i}": digest(F.col(k)) if kinds[k] == "string" else F.col(k) for i, k in enumerate(keys)})
+    own = [f"__key{i}" for i in range(len(keys))]
+    first = rows.groupBy(*own).agg(F.min(ordinal).alias("__first"))
+    on = [rows[k].eqNullSafe(first[k]) for k in own] + [rows[ordinal] == first["__first"]]
+    return rows.join(first, on, "left_semi").drop(*own)
 
 
 def ratios(a: pd.Series, b: pd.Series) -> pd.Series:

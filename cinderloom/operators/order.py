@@ -7,24 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def numbered(df: DataFrame, ordinal: str = "ordinal", name: str = "position") -> DataFrame:
+def numbered(df: DataFrame, ordinal: str = "ordinal", name: str = "position", ties: list[Column | str] | None = None) -> DataFrame:
     """Positions from 0 in the order of the ordinals, without one task for all rows.
 
-    Rows are dealt out by ranges of the ordinal, counted per part, and numbered within the parts; only the parts'
-    counts meet in one place.
+    Rows are dealt out by ranges of the ordinal, sorted and numbered within the parts, and counted per part; only the parts'
+    counts meet in one place. Rows are shuffled once.
     """
     # equal ordinals stand by their other columns, so that positions don't depend on the layout
-    ties = [F.xxhash64(*(c for c, kind in df.dtypes if "map<" not in kind))]
-    parts = df.repartitionByRange(ordinal).withColumn("__part", F.spark_partition_id()).checkpoint(eager=True)
-    counts = parts.groupBy("__part").agg(F.count("*").alias("__n"))
+    ties = [F.xxhash64(*(c for c, kind in df.dtypes if "map<" not in kind))] if ties is None else ties
+    # the number's upper bits are the part, the lower 33 the place in it
+    parts = df.repartitionByRange(ordinal).sortWithinPartitions(ordinal, *ties).withColumn("__row", F.monotonically_increasing_id()).checkpoint(eager=True)
+    part = F.shiftright("__row", 33)
+    counts = parts.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a part
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(ordinal, *ties)) - 1
-    return parts.join(before, "__part").withColumn(name, within + F.col("__before")).drop("__part", "__before")
+    rows = parts.join(F.broadcast(before), part == F.col("__part"))
+    return rows.withColumn(name, F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before")).drop("__part", "__before", "__row")
 
 
-def batches(df: DataFrame, size: int, ordinal: str = "ordinal") -> DataFrame:
+def batches(df: DataFrame, size: int, ordinal: str = "ordinal", ties: list[Column | str] | None = None) -> DataFrame:
     """With ``batch_id`` from 0 and ``idx`` from 1, in order."""
-    rows = numbered(df, ordinal, "__at")
+    rows = numbered(df, ordinal, "__at", ties)
     return rows.select(*df.columns, F.floor(F.col("__at") / size).alias("batch_id"), (F.col("__at") % size + 1).cast("int").alias("idx"))
 
 

@@ -609,14 +609,16 @@ asked AS (SELECT p.ordinal, p.description, c.code, regexp_matches(c.code, '(?i)@
 
 def cascaded(spark, sf):
     """Two tiers over the corpus's own code: the first answers two of three briefs, the gate wants keyframes and no parts of an interface."""
-    source = cut(dedupe.first_wins(X.corpus(spark, sf).where("description is not null"), ["description"]).select("ordinal", "description", "code"))
+    source = dedupe.first_wins(X.corpus(spark, sf).where("description is not null").select("ordinal", "description"), ["description"])
+    known = X.corpus(spark, sf).select(F.col("ordinal").alias("origin"), "code", F.length("description").alias("size"))
+    shared_folder(spark)
 
     def generate(tier, batched):
-        rows = batched.drop("ordinal").join(source, "description")
-        body = F.when((F.lit(tier) == "small") & (F.col("ordinal") % 3 == 0), "").otherwise(F.concat(F.lit('<animation index="'), F.col("idx").cast("string"), F.lit('">'), F.col("code"), F.lit("</animation>")))
+        rows = batched.select("origin", "batch_id", "idx").join(known, "origin")
+        body = F.when((F.lit(tier) == "small") & (F.col("origin") % 3 == 0), "").otherwise(F.concat(F.lit('<animation index="'), F.col("idx").cast("string"), F.lit('">'), F.col("code"), F.lit("</animation>")))
         listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", body.alias("t")))), lambda x: x["t"]), "")
         zero = F.lit(0).cast("long")
-        return rows.groupBy("batch_id").agg(listed.alias("text"), F.sum(F.length("description")).cast("long").alias("in"), F.sum(F.length("code")).cast("long").alias("out"), zero.alias("cw"), zero.alias("cr"))
+        return rows.groupBy("batch_id").agg(listed.alias("text"), F.sum("size").cast("long").alias("in"), F.sum(F.length("code")).cast("long").alias("out"), zero.alias("cw"), zero.alias("cr"))
 
     def render(rows):
         return rows.select("row_id", css.has_keyframes(F.col("code")).alias("ok"))

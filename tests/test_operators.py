@@ -166,6 +166,60 @@ def test_a_short_last_batch(spark, cut):
     assert kept.count() == 5 and calls == [("a", [1, 2, 2])]
 
 
+def shuffled(spark):
+    """Bytes that this session has shuffled so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorList(False).head().totalShuffleWrite()
+
+
+def long_text(i):
+    rnd = random.Random(i)
+    return "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(5000))
+
+
+def test_descriptions_are_hardly_shuffled(spark, cut):
+    n = 300
+    briefs = spark.createDataFrame([(i, long_text(i % 290)) for i in range(n)], "ordinal long, description string")
+    got = []
+
+    def generate(tier, batched):
+        got.append(batched.columns)
+        said = F.when((F.lit(tier) == "a") & (F.col("origin") % 3 == 0), "").otherwise(F.concat(F.lit('<animation index="'), F.col("idx").cast("string"), F.lit('">@keyframes x{}'), F.col("origin").cast("string"), F.lit("</animation>")))
+        zero = F.lit(0).cast("long")
+        return batched.groupBy("batch_id").agg(F.array_join(F.collect_list(said), "").alias("text"), *(zero.alias(c) for c in ("in", "out", "cw", "cr")))
+
+    def check(rows):
+        return gates.validate(rows, lambda r: r.select("row_id", F.lit(True).alias("ok")), lambda r: r.select("row_id", (~F.col("code").endswith("5")).alias("ok")), cut=cut)
+
+    before = shuffled(spark)
+    kept, stats, _ = cascade.run_cascade(briefs, ["a", "b"], 8, generate, check, cut=cut)
+    took = shuffled(spark) - before
+    first = {i for i in range(n) if i % 3 and i % 10 != 5}
+    second = {i for i in range(n) if i % 10 != 5} - first
+    assert [(s["attempted"], s["kept"], s["failed"]) for s in stats] == [(n, len(first), n - len(first)), (n - len(first), len(second), n - len(first) - len(second))]
+    texts = dict(briefs.collect())
+    rows = kept.collect()
+    assert {(r.tier, r.code.partition("}")[2]) for r in rows} == {("a", str(i)) for i in first} | {("b", str(i)) for i in second}
+    assert all(r.description == texts[int(r.code.partition("}")[2])] for r in rows) and got[0] == ["ordinal", "origin", "description", "batch_id", "idx"]
+    assert took < n * 5000 / 2
+
+
+def test_a_repeated_description_fails_with_neither_parsed(spark, cut):
+    rows = [(0, "same"), (1, "same"), (2, "other"), (3, None)]
+    briefs = spark.createDataFrame(rows, "ordinal long, description string")
+    _, stats, _ = cascade.run_cascade(briefs, ["a"], 4, lambda t, b: b.groupBy("batch_id").agg(F.lit(block(1)).alias("text"), *(F.lit(0).cast("long").alias(c) for c in ("in", "out", "cw", "cr"))), lambda r: r.withColumn("ok", F.lit(True)), cut=cut)
+    assert stats == [{"tier": "a", "attempted": 4, "kept": 1, "failed": 2}]
+
+
+def test_first_rows_are_found_by_digests(spark):
+    df = spark.createDataFrame([(i, long_text(i % 40)) for i in range(200)], "ordinal long, t string").repartition(4).cache()
+    df.count()
+    before = shuffled(spark)
+    assert sorted(r.ordinal for r in dedupe.first_wins(df, ["t"]).collect()) == list(range(40))
+    assert shuffled(spark) - before < 200 * 5000 * 1.3
+
+
 def test_prices(spark):
     usage = spark.createDataFrame([("cheap", 1_000_000, 0, 0, 0), ("dear", 1_000_000, 0, None, None), ("cached", 0, 0, 1_000_000, 1_000_000)], "model string, `in` long, out long, cw long, cr long")
     prices = spark.createDataFrame([("cheap", 1.0, 5.0)], "model string, in_price double, out_price double")
