@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.css import has_keyframes
-from ..functions.text import formatted, has_fence, percent
+from ..functions.text import digest, formatted, has_fence, percent
 from ..schemas import OUTCOMES
 
 FIELDS = ("output", "code_ext", "nll", "n_tokens", "render_raw", "render_ext", "match_raw", "match_ext")
@@ -24,13 +24,15 @@ def merge_cache(val: DataFrame, cache: DataFrame, fields: tuple[str, ...] = FIEL
     """A record per description in the validation rows; what the cache knows lies over it, field by field, later lines over earlier ones.
 
     Cache lines of unknown descriptions are left out. Of equal descriptions in the validation rows the last reference counts.
+    Descriptions meet by their digests, so the cache's are not shuffled; a cache may have a ``digest`` in their place.
     """
-    seed = val.groupBy("description").agg(F.max_by("reference", "ordinal").alias("reference"), F.min("ordinal").alias("ordinal"))
+    seed = val.groupBy(digest(F.col("description")).alias("digest")).agg(F.any_value("description").alias("description"), F.max_by("reference", "ordinal").alias("reference"), F.min("ordinal").alias("ordinal"))
+    cache = cache if "digest" in cache.columns else cache.withColumn("digest", digest(F.col("description")))
     latest = lambda c: F.expr(f"max_by(`{c}`, ordinal) filter (where `{c}` is not null)").alias(c)
-    known = cache.groupBy("description").agg(*(latest(c) for c in (*(["reference"] if "reference" in cache.columns else []), *fields)))
+    known = cache.groupBy("digest").agg(*(latest(c) for c in (*(["reference"] if "reference" in cache.columns else []), *fields)))
     if "reference" in known.columns:
         known = known.withColumnRenamed("reference", "__reference")
-    out = seed.join(known, "description", "left")
+    out = seed.join(known, "digest", "left").drop("digest")
     if "__reference" in out.columns:
         out = out.withColumn("reference", F.coalesce("__reference", "reference")).drop("__reference")
     return out
@@ -43,10 +45,14 @@ def needed(cache: DataFrame, field: str, gate: str | None = None) -> DataFrame:
 
 
 def run_phase(cache: DataFrame, field: str, produce: Callable[[DataFrame], DataFrame], gate: str | None = None, cut=None) -> DataFrame:
-    """The cache with the field filled in where it was missing; ``produce`` gives (description, field). Done work is not done again."""
+    """The cache with the field filled in where it was missing; ``produce`` gives (description, field). Done work is not done again.
+
+    What is made meets the cache by digests of the descriptions, so these are shuffled once, on the cache's side.
+    """
     cut = cut or (lambda df: df.checkpoint(eager=True))
-    made = cut(produce(needed(cache, field, gate)).select("description", F.col(field).alias("__new")))
-    return cache.join(made, "description", "left").withColumn(field, F.coalesce(field, "__new")).drop("__new")
+    made = cut(produce(needed(cache, field, gate)).select(digest(F.col("description")).alias("__digest"), F.col(field).alias("__new")))
+    keyed = cache.withColumn("__digest", digest(F.col("description")))
+    return keyed.join(made, "__digest", "left").withColumn(field, F.coalesce(field, "__new")).select("description", *(c for c in cache.columns if c != "description"))
 
 
 def format_valid(output: Column) -> Column:

@@ -714,7 +714,8 @@ def k3(spark, sf):
     """Seeded, filled by two phases of which each is asked twice, the second time in a new store on the same folder."""
     schema = schemas.struct(description=schemas.S, reference=schemas.S, ordinal=schemas.L, output=schemas.S, render_ext=schemas.B, nll=schemas.D, match_ext=schemas.B)
     path, made = fresh(spark), []
-    base = X.run(spark, sf, 2).select("description", F.lit("r").alias("reference"), "ordinal", "output", "render_ext")
+    base = X.run(spark, sf, 2, by_digest=True).select("digest", F.lit("r").alias("reference"), "ordinal", "output", "render_ext")
+    val = X.read(spark, sf, "documents").select(F.expr(X.RUN_KEY).alias("description"), F.lit("r").alias("reference"), F.col("doc_id").alias("ordinal"))
     open_ = lambda: store.PhaseStore(store.VersionedTable(spark, path, schema))
 
     def produce(field, value):
@@ -725,7 +726,7 @@ def k3(spark, sf):
         return run
 
     first = open_()
-    first.seed(base.select("description", "reference", "ordinal"))
+    first.seed(val)
     first.table.save(evaluate.merge_cache(first.table.load(), base, ("output", "render_ext")).withColumns({"nll": F.lit(None).cast("double"), "match_ext": F.lit(None).cast("boolean")}))
     made.append("seed")
     for _ in range(2):

@@ -44,7 +44,7 @@ class VersionedTable:
     def save(self, df: DataFrame) -> DataFrame:
         """Writes a new version, also from a frame that reads the last one, and removes old ones."""
         number = max(self.versions(complete=False), default=0) + 1
-        df.select(*self.schema.names).write.parquet(f"{self.path}/version={number}")
+        df.select(*self.schema.names).write.option("compression", "zstd").parquet(f"{self.path}/version={number}")
         for old in [n for n in self.versions(complete=False) if n <= number - self.keep]:
             fs, at = _folder(self.spark, f"{self.path}/version={old}")
             fs.delete(at, True)

@@ -411,6 +411,29 @@ def test_versions_and_phases(spark, cut, tmp_path):
     assert table.load().count() == 2 and table.save(table.load()).count() == 2
 
 
+def test_a_phase_shuffles_descriptions_once(spark, cut, tmp_path):
+    n = 200
+    schema = schemas.struct(description=schemas.S, reference=schemas.S, ordinal=schemas.L, nll=schemas.D)
+    phases = store.PhaseStore(store.VersionedTable(spark, str(tmp_path / "run"), schema))
+    rows = [(long_text(i), f"r{i}", i) for i in range(n)] + [(long_text(0), "last", n), (None, "none", n + 1)]
+    phases.seed(spark.createDataFrame(rows, "description string, reference string, ordinal long"))
+    before = shuffled(spark)
+    with_joins = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as over large tables
+    try:
+        out = phases.run("nll", lambda r: r.select("description", F.col("ordinal").cast("double").alias("nll"))).collect()
+        took = shuffled(spark) - before
+        known = spark.createDataFrame([(long_text(1), 5, 0.5)], "description string, ordinal long, nll double")
+        by_digest = known.select(F.unhex(F.sha2("description", 256)).alias("digest"), "ordinal", "nll")
+        merged = [evaluate.merge_cache(phases.table.load(), c, ("nll",)).orderBy("ordinal").collect() for c in (known, by_digest)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_joins)
+    assert sorted((r.ordinal, r.reference, r.nll, r.description) for r in out if r.description) == sorted((i, "last" if i == 0 else f"r{i}", float(i), long_text(i)) for i in range(n))
+    assert [(r.reference, r.nll) for r in out if r.description is None] == [("none", None)]
+    assert took < n * 5000 * 1.3
+    assert merged[0] == merged[1] and [r.nll for r in merged[0]] == [0.5 if i == 1 else None for i in range(n + 1)]
+
+
 def test_metrics_object(spark, tmp_path):
     m = spark.createDataFrame([(3, None, 0.25)], "n long, perplexity double, format_valid_rate double").withColumns({v: F.struct(F.lit(0.5).alias("render_rate"), F.lit(None).cast("double").alias("match_of_rendered"), F.lit(1.0).alias("knockout_rate")) for v in ("raw", "extracted")})
     store.write_object(m, str(tmp_path / "m"))
